@@ -29,7 +29,7 @@ CSHARP = [
            "        if (tries > 3 && strict) { return false; }",
            "        LogError(\"Token \" + pass);", "        return user == pass;", "    }", "}", "}"),
     _lines("using System.Data.OleDb;", "using System.Linq;", "namespace Shop.Data.Repository", "{",
-           "public class OrderStore : StoreBase", "{",
+           "public class OrderStore : OrderHub", "{",
            "    public string Find(string name)", "    {",
            '        var sql = "SELECT * FROM orders WHERE n = " + name;',
            "        var c = new SqlConnection (sql);", "        DataSet rows = Load(sql);",
@@ -39,7 +39,7 @@ CSHARP = [
            "        }", "        // TODO retry", "    }", "    private void Unused(int n)", "    {", "        Wait(n);", "    }",
            "    private void Post(string to)", "    {", "        Thread.Sleep(100);", "    }", "}", "}"),
     _lines("using System.Web.UI;", "using System.Web.Services;", "using System.Runtime.Remoting;",
-           "namespace Shop.Web.Pages", "{", "public class CartPage : System.Web.UI.Page", "{",
+           "namespace Shop.Web.Pages", "{", "public class CartPage : OrderHub, System.Web.UI.IPage", "{",
            "    public void Load(int id)", "    {", "        var who = HttpContext.Current.User;",
            "        var old = new BinaryFormatter ();", "        WebClient web = new WebClient();",
            "        Process.Start (\"calc\");", "        ProcessOrder(id);", "    }",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def jre(pattern: str, flags: str = "i") -> str:
@@ -12,6 +12,21 @@ def jre(pattern: str, flags: str = "i") -> str:
     return f"(?Ud{flags})" + pattern
 
 
+def sql_text(s: str) -> str:
+    """A Spark SQL string literal: one parsed expression is cheaper to build than many calls."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+def text_array(values: list[str]) -> Column:
+    return F.expr("array(" + ", ".join(sql_text(v) for v in values) + ")")
+
+
+def pin(df: DataFrame, *cols: Column) -> DataFrame:
+    """Add computed columns behind a Generate, so that a later filter on them is not pushed
+    below and does not evaluate an expensive expression twice."""
+    return df.select("*", F.inline(F.array(F.struct(*cols))))
+
+
 def has(text: Column, pattern: str, flags: str = "i") -> Column:
     return text.rlike(jre(pattern, flags))
 

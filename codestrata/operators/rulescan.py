@@ -7,21 +7,21 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..data.rules import ALL_RULES, Rule
-from ..functions.text import all_of, any_of, jre, n_of
+from ..functions.text import jre, pin, sql_text
 
 RULE_LIMIT = 5000  # rule rows folded into one plan; larger tables go through the join form
 
 
-def rule_condition(text: Column, rule: Rule) -> Column:
+def rule_sql(rule: Rule) -> str:
+    def find(p: str) -> str:
+        return f"content RLIKE {sql_text(jre(p, rule.flags))}"
+
     if rule.min_count:
-        cond = n_of(text, rule.must[0], rule.flags) > rule.min_count
+        cond = f"regexp_count(content, {sql_text(jre(rule.must[0], rule.flags))}) > {rule.min_count}"
     else:
-        cond = any_of([text.rlike(jre(p, rule.flags)) for p in rule.must])
-    if rule.also:
-        cond = cond & all_of([text.rlike(jre(p, rule.flags)) for p in rule.also])
-    if rule.must_not:
-        cond = cond & ~any_of([text.rlike(jre(p, rule.flags)) for p in rule.must_not])
-    return cond
+        cond = "(" + " OR ".join(find(p) for p in rule.must) + ")"
+    cond += "".join(f" AND {find(p)}" for p in rule.also)
+    return cond + "".join(f" AND NOT {find(p)}" for p in rule.must_not)
 
 
 def _hits(rules: Iterable[Rule]) -> Column:
@@ -29,17 +29,12 @@ def _hits(rules: Iterable[Rule]) -> Column:
     groups: dict[tuple[str, ...], list[Rule]] = {}
     for r in rules:
         groups.setdefault(r.languages, []).append(r)
-    out = None
+    cases = []
     for langs, members in groups.items():
-        arr = F.array_compact(F.array(*[
-            F.when(rule_condition(F.col("content"), r), F.struct(
-                F.lit(r.rule_id).alias("rule_id"), F.lit(r.family).alias("family"), F.lit(r.severity).alias("severity")))
-            for r in members]))
-        if out is None:
-            out = F.when(F.col("language").isin(*langs), arr)
-        else:
-            out = out.when(F.col("language").isin(*langs), arr)
-    return out
+        arr = ", ".join(f"CASE WHEN {rule_sql(r)} THEN named_struct('rule_id', {sql_text(r.rule_id)}, 'family', {sql_text(r.family)}, "
+                        f"'severity', {sql_text(r.severity)}) END" for r in members)
+        cases.append(f"WHEN language IN ({', '.join(sql_text(x) for x in langs)}) THEN array_compact(array({arr}))")
+    return F.expr("CASE " + " ".join(cases) + " END")
 
 
 def rule_scan(files: DataFrame, rules: list[Rule] | None = None, extra: list[str] | None = None) -> DataFrame:
@@ -50,7 +45,7 @@ def rule_scan(files: DataFrame, rules: list[Rule] | None = None, extra: list[str
 def hit_counts(content_df: DataFrame, rules: list[Rule] | None = None, extra: list[str] | None = None) -> DataFrame:
     """Hits per family as columns of the file row: no explode, no shuffle."""
     hits = _hits(rules if rules is not None else ALL_RULES)
-    df = content_df.select("file_name", "language", *(extra or []), hits.alias("hits"))
+    df = pin(content_df, hits.alias("hits"))
 
     def n(fam: str) -> Column:
         return F.coalesce(F.size(F.filter("hits", lambda h: h["family"] == fam)), F.lit(0)).alias(f"{fam}_hits")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import jre, split_lines
+from ..functions.text import jre, pin, split_lines, sql_text
 
 _MODS = r"(?:public|private|protected|internal|static|abstract|sealed|partial|final|export|default|async|virtual|override)"
 JS_KEYWORDS = ["if", "for", "while", "switch", "catch", "function", "return", "else", "do", "with"]
@@ -68,42 +68,36 @@ CONTAINERS = {"csharp": r"^\s*namespace\s+([\w.]+)", "java": r"^\s*package\s+([\
 FIELDS = ["mods", "rtype", "name", "params", "recv"]
 
 
-def _grab(line: Column, pattern: str, group: int | None) -> Column:
-    return F.regexp_extract(line, jre(pattern, ""), group) if group else F.lit("")
+def _bases_sql(lang: str) -> str:
+    parts = ", ".join(f"nullif(trim(regexp_extract(x, {sql_text(jre(p, ''))}, 1)), '')" for p in BASES[lang])
+    return f"concat_ws(', ', {parts})" if parts else "''"
 
 
-def _bases(line: Column, lang: str) -> Column:
-    if not BASES[lang]:
-        return F.lit("")
-    parts = [F.trim(F.regexp_extract(line, jre(p, ""), 1)) for p in BASES[lang]]
-    return F.concat_ws(", ", *[F.when(p != "", p) for p in parts])
-
-
-def _mark(line: Column, i: Column, lang: str) -> Column:
-    out = None
+def _mark_sql(lang: str) -> str:
+    """CASE over the language's declarations, for a lambda (x, i) over the line array."""
+    cases = []
     for kind, pattern, groups in GRAMMAR[lang]:
-        cond = line.rlike(jre(pattern, ""))
+        p = sql_text(jre(pattern, ""))
+        cond = f"x RLIKE {p}"
         if lang in ("javascript", "typescript") and kind == "method":
-            cond = cond & ~_grab(line, pattern, groups["name"]).isin(JS_KEYWORDS)
-        row = F.struct(
-            (i + 1).cast("int").alias("line"), F.lit(kind).alias("kind"),
-            *[_grab(line, pattern, groups.get(f)).alias(f) for f in FIELDS],
-            (_bases(line, lang) if kind == "class" else F.lit("")).alias("bases"),
-        )
-        out = F.when(cond, row) if out is None else out.when(cond, row)
-    return out
+            words = ", ".join(sql_text(w) for w in JS_KEYWORDS)
+            cond += f" AND regexp_extract(x, {p}, {groups['name']}) NOT IN ({words})"
+        fields = ", ".join(f"'{f}', regexp_extract(x, {p}, {groups[f]})" if f in groups else f"'{f}', ''" for f in FIELDS)
+        bases = _bases_sql(lang) if kind == "class" else "''"
+        cases.append(f"WHEN {cond} THEN named_struct('line', i + 1, 'kind', '{kind}', {fields}, 'bases', {bases})")
+    return "CASE " + " ".join(cases) + " END"
 
 
-def _marker(lang: str):
-    return lambda x, i: _mark(x, i, lang)
+def _per_language(bodies: dict[str, str], otherwise: str = "") -> Column:
+    same: dict[str, list[str]] = {}
+    for lang, body in bodies.items():
+        same.setdefault(body, []).append(lang)
+    cases = " ".join(f"WHEN language IN ({', '.join(sql_text(x) for x in langs)}) THEN {body}" for body, langs in same.items())
+    return F.expr(f"CASE {cases} {'ELSE ' + otherwise if otherwise else ''} END")
 
 
-def _marks(lines: Column, language: Column) -> Column:
-    out = None
-    for lang in GRAMMAR:
-        arr = F.filter(F.transform(lines, _marker(lang)), lambda m: m.isNotNull())
-        out = F.when(language == lang, arr) if out is None else out.when(language == lang, arr)
-    return out
+def _marks() -> Column:
+    return _per_language({lang: f"filter(transform(lines, (x, i) -> {_mark_sql(lang)}), m -> m IS NOT NULL)" for lang in GRAMMAR})
 
 
 def file_lines(files: DataFrame) -> DataFrame:
@@ -113,7 +107,7 @@ def file_lines(files: DataFrame) -> DataFrame:
 def with_marks(files: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """One row per file with its line array and its array of declarations."""
     base = files.select("file_name", "language", *(extra or []), split_lines(F.col("content")).alias("lines"))
-    return base.withColumn("marks", _marks(F.col("lines"), F.col("language")))
+    return pin(base, _marks().alias("marks"))
 
 
 def _next_line(i: Column) -> Column:
@@ -130,8 +124,7 @@ def extract_symbols(files: DataFrame, kind: str | None = None, with_body: bool =
 
     def full(m: Column, i: Column) -> Column:
         nxt = _next_line(i)
-        owner = F.try_element_at(F.filter(F.col("classes"), lambda c: c["line"] <= m["line"]), F.lit(-1))["name"]
-        owner = F.when(m["kind"] == "class", F.lit(None)).when(m["recv"] != "", m["recv"]).otherwise(owner)
+        owner = owner_of(m)
         cols = [m[f].alias(f) for f in ["line", "kind", "name", "mods", "rtype", "params", "bases"]]
         cols += [owner.alias("owner"), nxt.alias("next_line")]
         if with_body:
@@ -145,35 +138,22 @@ def extract_symbols(files: DataFrame, kind: str | None = None, with_body: bool =
 
 
 def extract_imports(files: DataFrame) -> DataFrame:
-    def reader(lang: str):
-        pattern, groups, wild = IMPORTS[lang]
-
-        def one(x: Column, i: Column) -> Column:
-            names = [F.regexp_extract(x, jre(pattern, ""), g) for g in groups]
-            module = F.coalesce(*[F.when(n != "", n) for n in names]) if len(names) > 1 else names[0]
-            return F.when(x.rlike(jre(pattern, "")), F.struct(
-                (i + 1).cast("int").alias("line"), module.alias("module"), x.rlike(jre(wild, "")).alias("is_wildcard")))
-
-        return one
+    bodies = {}
+    for lang, (pattern, groups, wild) in IMPORTS.items():
+        p = sql_text(jre(pattern, ""))
+        module = "coalesce(" + ", ".join(f"nullif(regexp_extract(x, {p}, {g}), '')" for g in groups) + ", '')"
+        bodies[lang] = (f"filter(transform(lines, (x, i) -> CASE WHEN x RLIKE {p} THEN named_struct('line', i + 1, 'module', {module}, "
+                        f"'is_wildcard', x RLIKE {sql_text(jre(wild, ''))}) END), m -> m IS NOT NULL)")
+    return file_lines(files).select("file_name", "language", F.inline(_per_language(bodies)))
 
-    arr = None
-    for lang in IMPORTS:
-        a = F.filter(F.transform("lines", reader(lang)), lambda m: m.isNotNull())
-        arr = F.when(F.col("language") == lang, a) if arr is None else arr.when(F.col("language") == lang, a)
-    return file_lines(files).select("file_name", "language", F.inline(arr))
 
-
-def container_of(content: Column, language: Column) -> Column:
+def container_of() -> Column:
     """First namespace or package name; empty where the language has none."""
-    out = None
-    for lang, p in CONTAINERS.items():
-        e = F.regexp_extract(content, jre(p, "m"), 1)
-        out = F.when(language == lang, e) if out is None else out.when(language == lang, e)
-    return out.otherwise(F.lit(""))
+    return _per_language({lang: f"regexp_extract(content, {sql_text(jre(p, 'm'))}, 1)" for lang, p in CONTAINERS.items()}, "''")
 
 
 def extract_container(files: DataFrame) -> DataFrame:
-    return files.select("file_name", "language", container_of(F.col("content"), F.col("language")).alias("container"))
+    return files.select("file_name", "language", container_of().alias("container"))
 
 
 def explode_lines(files: DataFrame) -> DataFrame:
@@ -181,41 +161,45 @@ def explode_lines(files: DataFrame) -> DataFrame:
     return lines.select("file_name", "language", (F.col("pos") + 1).alias("line"), "text")
 
 
-def _matches(pattern: str):
-    return lambda x: x.rlike(jre(pattern, ""))
-
-
 def _count_marks(marks: Column, kind: str) -> Column:
     return F.coalesce(F.size(F.filter(marks, lambda m: m["kind"] == kind)), F.lit(0))
 
 
 def file_counts(files: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Class, method, property and import counts per file, in one pass and no shuffle."""
-    imports = None
-    for lang, (pattern, _, _) in IMPORTS.items():
-        a = F.size(F.filter("lines", _matches(pattern)))
-        imports = F.when(F.col("language") == lang, a) if imports is None else imports.when(F.col("language") == lang, a)
+    imports = _per_language({lang: f"size(filter(lines, x -> x RLIKE {sql_text(jre(p, ''))}))" for lang, (p, _, _) in IMPORTS.items()}, "0")
     return with_marks(files, extra).select(
         "file_name", "language", *(extra or []),
         _count_marks(F.col("marks"), "class").alias("classes"), _count_marks(F.col("marks"), "method").alias("methods"),
-        _count_marks(F.col("marks"), "property").alias("properties"), F.coalesce(imports, F.lit(0)).alias("imports"),
+        _count_marks(F.col("marks"), "property").alias("properties"), imports.alias("imports"),
         F.size("lines").alias("loc"),
     )
 
 
+def signature_text(m, owner: Column) -> Column:
+    """Readable signature of a declaration; ``m`` maps field names to columns."""
+    access = F.regexp_extract(m["mods"], r"\b(public|private|protected|internal)\b", 1)
+    mods = F.concat_ws(" ", F.when(access != "", access), F.when(m["mods"].contains("static"), F.lit("static")),
+                       F.when(m["mods"].contains("async"), F.lit("async")))
+    owned = F.concat(F.coalesce(F.concat(owner, F.lit(".")), F.lit("")), m["name"])
+    accessors = F.concat(F.when(m["params"].contains("get"), "get; ").otherwise(""), F.when(m["params"].contains("set"), "set; ").otherwise(""))
+    return (
+        F.when(m["kind"] == "class", F.concat(access, F.lit(" class "), m["name"],
+               F.when(m["bases"] != "", F.concat(F.lit(" : "), m["bases"])).otherwise("")))
+        .when(m["kind"] == "method", F.concat(mods, F.lit(" "), F.when(m["rtype"] != "", m["rtype"]).otherwise("void"),
+              F.lit(" "), owned, F.lit("("), F.trim(m["params"]), F.lit(")")))
+        .when(m["kind"] == "property", F.concat(access, F.lit(" "), m["rtype"], F.lit(" "), owned, F.lit(" { "), accessors, F.lit("}")))
+    )
+
+
+def owner_of(m: Column) -> Column:
+    """Last class declared at or above the line; needs a ``classes`` column."""
+    last = F.try_element_at(F.filter("classes", lambda c: c["line"] <= m["line"]), F.lit(-1))["name"]
+    return F.when(m["kind"] == "class", F.lit(None)).when(m["recv"] != "", m["recv"]).otherwise(last)
+
+
 def signatures(symbols: DataFrame) -> DataFrame:
     """Readable class, method and property signatures."""
-    mods = F.concat_ws(" ", F.when(F.col("access") != "", F.col("access")), F.when(F.col("is_static"), F.lit("static")),
-                       F.when(F.col("is_async"), F.lit("async")))
-    owned = F.concat(F.coalesce(F.concat(F.col("owner"), F.lit(".")), F.lit("")), F.col("name"))
-    accessors = F.concat(F.when(F.col("params").contains("get"), "get; ").otherwise(""),
-                         F.when(F.col("params").contains("set"), "set; ").otherwise(""))
-    text = (
-        F.when(F.col("kind") == "class", F.concat(F.col("access"), F.lit(" class "), F.col("name"),
-               F.when(F.col("bases") != "", F.concat(F.lit(" : "), F.col("bases"))).otherwise("")))
-        .when(F.col("kind") == "method", F.concat(mods, F.lit(" "), F.when(F.col("rtype") != "", F.col("rtype")).otherwise("void"),
-              F.lit(" "), owned, F.lit("("), F.trim("params"), F.lit(")")))
-        .when(F.col("kind") == "property", F.concat(F.col("access"), F.lit(" "), F.col("rtype"), F.lit(" "), owned,
-              F.lit(" { "), accessors, F.lit("}")))
-    )
-    return symbols.where(F.col("kind").isin("class", "method", "property")).select("file_name", "kind", "line", text.alias("signature"))
+    fields = {c: F.col(c) for c in ["kind", "name", "mods", "rtype", "params", "bases"]}
+    return symbols.where(F.col("kind").isin("class", "method", "property")).select(
+        "file_name", "kind", "line", signature_text(fields, F.col("owner")).alias("signature"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .registry import ORACLES, QUERIES
 
-_MODULES = ["corpus"]
+_MODULES = ["corpus", "graphs", "rollups"]
 
 
 def _load() -> None:

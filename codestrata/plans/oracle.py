@@ -55,7 +55,7 @@ def n_of(text: str, p: str, f: str = "i") -> str:
 _CATEGORY = ("CASE event_type WHEN 'error' THEN 'SQL Injection' WHEN 'signup' THEN 'Authentication' "
              "WHEN 'purchase' THEN 'Performance' WHEN 'click' THEN 'Architecture' ELSE 'Design' END")
 _STEP = "CASE WHEN value < 25 THEN 0 WHEN value < 75 THEN 1 WHEN value < 150 THEN 2 ELSE 3 END"
-_LINE = "(event_id // 50 % 200 + 1)"
+_LINE = "(event_id // 50 % 40 + 1)"
 _AGENTS = ["security", "performance", "architecture"]
 
 VIEWS["v_files0"] = f"""

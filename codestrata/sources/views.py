@@ -9,22 +9,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..data.snippets import EXTENSIONS, snippet_grid
+from ..functions.text import text_array
 
 MODULES = ["Controllers", "Services", "Models", "Repository", "Tests"]
 AS_OF = "2024-01-01"
 
 
 def _pick(values: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    return F.element_at(text_array(values), (index + 1).cast("int"))
+
+
+SMALL_BYTES_PER_SLOT = 32 * 1024 * 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small text table to every task slot before costly per-row work.
+
+    A table large enough to fill the slots by itself is left alone: its text is never shuffled.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(slots) if size < slots * SMALL_BYTES_PER_SLOT else df
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per source file: a code text followed by the document's prose."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars"))
     src = F.regexp_extract("source", r"(\d+)", 1).cast("int")
     module = _pick(MODULES, src % 5)
     ext = _pick(EXTENSIONS, F.col("doc_id") % 7)
@@ -42,7 +56,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def web_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
+    p = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     path = F.regexp_extract("url", r"^[a-z]+://[^/]+([^?#]*)", 1)
     return p.select(
         F.concat(path, F.lit("_"), F.col("page_id").cast("string"), F.lit(".js")).alias("file_name"),
@@ -69,7 +83,7 @@ SEVERITIES = ["LOW", "MEDIUM", "HIGH", "CRITICAL"]
 
 
 def _line() -> Column:
-    return F.floor(F.col("event_id") / 50) % 200 + 1
+    return F.floor(F.col("event_id") / 50) % 40 + 1
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
