@@ -7,8 +7,8 @@ from __future__ import annotations
 
 
 def _ladder(measure: str, cuts: list[float], labels: list[str]) -> list[tuple[str, float | None, float | None, str, int]]:
-    lows = [None, *cuts]
-    highs = [*cuts, None]
+    bounds = [float(c) for c in cuts]
+    lows, highs = [None, *bounds], [*bounds, None]
     return [(measure, lo, hi, label, i) for i, (lo, hi, label) in enumerate(zip(lows, highs, labels, strict=True), 1)]
 
 

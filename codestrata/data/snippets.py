@@ -82,7 +82,7 @@ CSHARP = [
 ]
 
 PYTHON = [
-    _lines("import os", "from app.Services import Unit7", "class Login(Base):", "    def check(self, user, password):",
+    _lines("import os", "from app.Services import Unit11", "class Login(Base):", "    def check(self, user, password):",
            "        api_key = 'abcdef0123456789abcdef'", "        if user == 'admin':", "            return eval(password)",
            "        if len(password) < 4:", "            return None"),
     _lines("import sqlite3", "def find(name):",
@@ -99,7 +99,7 @@ PYTHON = [
            "                print(i)", "    return [x for x in range(100000)]"),
     _lines("class Hub:", *[f"    def step{i}(self, a):\n        return a + {i}" for i in range(1, 22)]),
     _lines("def long_one(a):", *[f"    a = a + {i}" for i in range(1, 56)], "    return a"),
-    _lines("from app.Models import Unit3", "from os.path import *", "class Node(object):", "    pass",
+    _lines("from app.Models.Unit7 import x", "from os.path import *", "class Node(object):", "    pass",
            "class Leaf(Node):", "    def grow(self):", "        helper = MailService(1)", "        return helper.run()"),
     _lines("import json", "class Parse(Unit):", "    async def run(self, text):", "        data = payload[0]",
            "        return \"%s\" % data"),
@@ -107,7 +107,7 @@ PYTHON = [
 ]
 
 JAVASCRIPT = [
-    _lines("import fs from 'fs';", "import { go } from 'app/Services/Unit7';", "class Login extends Base {",
+    _lines("import fs from 'fs';", "import { go } from 'app/Services/Unit11';", "class Login extends Base {",
            "  check(user, pass) {", "    const token = 'abcdef0123456789abcdef';", "    if (user == 'admin') { return eval(pass); }",
            "    if (password.length < 4) { return null; }", "  }", "}"),
     _lines("const db = require('db');", "function find(name) {",
@@ -123,21 +123,21 @@ JAVASCRIPT = [
            "p.then(a => { q.then(b => { r.then(c => c); }); });"),
     _lines("class Hub {", *[f"  step{i}(a) {{ return a + {i}; }}" for i in range(1, 22)], "}"),
     _lines("function longOne(a) {", *[f"  a = a + {i};" for i in range(1, 56)], "  return a;", "}"),
-    _lines("import * as m from 'app/Models/Unit3';", "class Node {", "}", "class Leaf extends Node {",
+    _lines("import * as m from 'app/Models/Unit7';", "class Node {", "}", "class Leaf extends Node {",
            "  grow() {", "    return new Node();", "  }", "}"),
     _lines("import x from './unit1';", "class Parse extends Unit {", "  async run(text) {", "    return validate(text);", "  }", "}"),
     _lines("function add(a, b) {", "  return check(a) + b;", "}"),
 ]
 
 JAVA = [
-    _lines("package shop.security;", "import java.util.*;", "import app.Services.Unit7;", "public class Login extends Base {",
+    _lines("package shop.security;", "import java.util.*;", "import app.Services.Unit11;", "public class Login extends Base {",
            "    public boolean check(String user, int tries) {", "        String password = \"hunter2-hunter2\";",
            "        if (user == \"admin\") { return true; }", "        return eval(password);", "    }", "}"),
     _lines("package shop.data;", "public class Store {", "    public String find(String name) {",
            "        String sql = \"SELECT * FROM t WHERE n = \" + name + \"{\";", "        return db.query(sql);", "    }", "}"),
     _lines("package shop.services;", "public class Mailer {", "    public void send(String to) {",
            "        try { post(to); } catch (Exception e) { }", "    }", "    private void unused(int n) {", "        stop(n);", "    }", "}"),
-    _lines("package shop.web;", "import app.Models.Unit3;", "public class Cart {", "    public static int retries = 7;",
+    _lines("package shop.web;", "import app.Models.Unit7;", "public class Cart {", "    public static int retries = 7;",
            "    public static String host = \"x\";", "    public void load(int id) {",
            "        ArrayList rows = new ArrayList();", "        OrderService s = new OrderService();", "    }", "}"),
     _lines("package shop.tree;", "public class Node {", "}", "class Leaf extends Node implements Grow {", "}"),
@@ -149,7 +149,7 @@ JAVA = [
 GO = [
     _lines("package login", "import \"fmt\"", "type Login struct {", "}", "func (l *Login) Check(user string) bool {",
            "\tpassword := \"hunter2-hunter2\"", "\treturn user == password", "}"),
-    _lines("package data", "import (", "\t\"os\"", "\t\"app/Models/Unit3\"", ")", "func Find(name string) string {",
+    _lines("package data", "import (", "\t\"os\"", "\t\"app/Models/Unit7\"", ")", "func Find(name string) string {",
            "\tos.Remove(errName)", "\treturn db.Query(name)", "}"),
     _lines("package loops", "limit := 100", "func Walk(n int) int {",
            "\tfor i := 0; i < n; i++ {", "\t\tif i > 24 && n > 7 { return 3600 }", "\t}", "\treturn n", "}"),

@@ -13,8 +13,11 @@ def jre(pattern: str, flags: str = "i") -> str:
 
 
 def sql_text(s: str) -> str:
-    """A Spark SQL string literal: one parsed expression is cheaper to build than many calls."""
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+    """A Spark SQL string literal: one parsed expression is cheaper to build than many calls.
+
+    ``$`` is written as an escape, else ``${name}`` would be taken for a variable.
+    """
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("$", "\\u0024") + "'"
 
 
 def text_array(values: list[str]) -> Column:

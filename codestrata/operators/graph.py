@@ -11,21 +11,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.substr import containing_pairs
 from ..functions.text import file_stem, jre
 from ..session import cut_lineage
-from .symbols import body_of, container_of, extract_imports, extract_symbols, with_marks
+from .symbols import body_of, container_of, extract_imports, owner_of, with_marks
 
 GOD_DEGREE = 20
 
 
-def _declared(files: DataFrame) -> DataFrame:
-    """Class members of every file with their namespace, without leaving the file's row."""
+def declarations(files: DataFrame) -> DataFrame:
+    """Class members of every file with namespace, bases and called names, in one pass.
+
+    This slim table carries all the graph needs, so the text is read once.
+    """
     base = with_marks(files, ["content"]).withColumn("namespace", container_of())
     base = base.withColumn("classes", F.filter("marks", lambda m: m["kind"] == "class"))
 
     def full(m: Column, i: Column) -> Column:
-        owner = F.try_element_at(F.filter("classes", lambda c: c["line"] <= m["line"]), F.lit(-1))["name"]
-        owner = F.when(m["kind"] == "class", m["name"]).when(m["recv"] != "", m["recv"]).otherwise(owner)
+        owner = F.when(m["kind"] == "class", m["name"]).otherwise(owner_of(m))
+        # what follows the parameter list's opening bracket can hold calls
+        inner = F.regexp_replace(body_of(m, i), jre(r"^[^(]*\(", ""), "")
+        callees = F.when((F.col("language") == "csharp") & (m["kind"] == "method"),
+                         F.regexp_extract_all(inner, F.lit(jre(r"(\w+)\s*\(", "")), F.lit(1)))
         return F.struct(m["line"].alias("line"), m["kind"].alias("kind"), m["name"].alias("name"), owner.alias("owner"),
-                        m["bases"].alias("bases"), F.when(m["kind"] == "method", body_of(m, i)).alias("body"))
+                        m["bases"].alias("bases"), callees.alias("callees"))
 
     out = base.select("file_name", "language", "namespace", F.inline(F.transform("marks", full)))
     out = out.where(F.col("kind").isin("class", "method", "property") & F.col("owner").isNotNull())
@@ -33,21 +39,18 @@ def _declared(files: DataFrame) -> DataFrame:
                                                  F.when(F.col("kind") != "class", F.col("name"))))
 
 
-def dep_nodes(files: DataFrame) -> DataFrame:
+def dep_nodes(decl: DataFrame) -> DataFrame:
     """One node per class, method and property; the first declaration of an id wins."""
     full_name = F.when(F.col("kind") == "class",
                        F.when(F.col("namespace") == "", F.col("name")).otherwise(F.concat_ws(".", "namespace", "name"))
                        ).otherwise(F.concat_ws(".", "namespace", "owner", "name"))
     first = F.min(F.struct("line", "kind", "name", "file_name", "namespace", full_name.alias("full_name"))).alias("n")
-    return _declared(files).groupBy("node_id").agg(first).select("node_id", "n.*")
+    return decl.groupBy("node_id").agg(first).select("node_id", "n.*")
 
 
-def calls(files: DataFrame) -> DataFrame:
+def calls(decl: DataFrame) -> DataFrame:
     """Call sites inside C# methods: (file, calling node, called name, how often)."""
-    d = _declared(files.where(F.col("language") == "csharp")).where(F.col("kind") == "method")
-    inner = F.regexp_replace("body", jre(r"^[^(]*\(", ""), "")
-    names = F.regexp_extract_all(inner, F.lit(jre(r"(\w+)\s*\(", "")), F.lit(1))
-    return d.select("file_name", "node_id", F.explode(names).alias("callee")).groupBy("file_name", "node_id", "callee").agg(
+    return decl.select("file_name", "node_id", F.explode("callees").alias("callee")).groupBy("file_name", "node_id", "callee").agg(
         F.count("*").alias("n_calls"))
 
 
@@ -64,16 +67,14 @@ def _resolve(refs: DataFrame, ref: str, nodes: DataFrame, kind: str) -> DataFram
     return outward.join(targets, ref)
 
 
-def call_edges(files: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    nodes = dep_nodes(files) if nodes is None else nodes
-    return _resolve(calls(files), "callee", nodes.where(F.col("file_name").endswith(".cs")), "method").select(
+def call_edges(decl: DataFrame, nodes: DataFrame) -> DataFrame:
+    return _resolve(calls(decl), "callee", nodes.where(F.col("file_name").endswith(".cs")), "method").select(
         F.col("node_id").alias("source_id"), "target_id", F.col("file_name").alias("source_file"), "target_file",
         F.lit("MethodCall").alias("type"), "n_calls")
 
 
-def inherit_edges(files: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    nodes = dep_nodes(files) if nodes is None else nodes
-    d = _declared(files.where(F.col("language") == "csharp")).where((F.col("kind") == "class") & (F.col("bases") != ""))
+def inherit_edges(decl: DataFrame, nodes: DataFrame) -> DataFrame:
+    d = decl.where((F.col("language") == "csharp") & (F.col("kind") == "class") & (F.col("bases") != ""))
     base = F.regexp_extract(F.trim("base0"), jre(r"(\w+)(?:<.*)?$", ""), 1)
     refs = d.select("file_name", "node_id", F.explode(F.split("bases", ",")).alias("base0")).select("file_name", "node_id", base.alias("base"))
     return _resolve(refs.distinct(), "base", nodes.where(F.col("file_name").endswith(".cs")), "class").select(
@@ -96,11 +97,10 @@ def import_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
     return modules.join(best, "norm").select("module", "b.target_file")
 
 
-def import_edges(files: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def import_edges(imports: DataFrame, files: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges of the languages without type information, between the first nodes of two files."""
-    nodes = dep_nodes(files) if nodes is None else nodes
     first = nodes.groupBy("file_name").agg(F.min(F.struct("line", "node_id")).alias("f")).select("file_name", F.col("f.node_id").alias("node_id"))
-    imports = extract_imports(files).where(F.col("language").isin("python", "java", "javascript", "typescript", "go"))
+    imports = imports.where(F.col("language").isin("python", "java", "javascript", "typescript", "go"))
     edges = imports.join(import_targets(imports, files), "module").where(F.col("file_name") != F.col("target_file"))
     src = first.select("file_name", F.col("node_id").alias("source_id"))
     dst = first.select(F.col("file_name").alias("target_file"), F.col("node_id").alias("target_id"))
@@ -108,10 +108,15 @@ def import_edges(files: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         "source_id", "target_id", F.col("file_name").alias("source_file"), "target_file", F.lit("TypeReference").alias("type"), "module", "line")
 
 
-def all_edges(files: DataFrame, nodes: DataFrame) -> DataFrame:
+def dependency_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a corpus. The slim inputs are written once; the text is read twice in all."""
+    decl = cut_lineage(declarations(files))
+    imports = cut_lineage(extract_imports(files))
+    nodes = cut_lineage(dep_nodes(decl))
     cols = ["source_id", "target_id", "source_file", "target_file", "type"]
-    return call_edges(files, nodes).select(cols).unionByName(inherit_edges(files, nodes).select(cols)).unionByName(
-        import_edges(files, nodes).select(cols))
+    edges = call_edges(decl, nodes).select(cols).unionByName(inherit_edges(decl, nodes).select(cols)).unionByName(
+        import_edges(imports, files, nodes).select(cols))
+    return nodes, cut_lineage(edges)
 
 
 # --- measures over an edge table ---------------------------------------------

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph as G
+from ..operators import graph as G, symbols as SY
+from ..session import cut_lineage
 from ..sources import views as V
 from .corpus import files
 from .oracle import VIEWS, lit, q, re2
@@ -19,7 +20,14 @@ VIEWS["v_nodes"] = """
 SELECT node_id, line, kind, name, file_name, namespace, CASE WHEN kind = 'class' THEN CASE WHEN namespace = '' THEN name ELSE namespace || '.' || name END
   ELSE namespace || '.' || own || '.' || name END AS full_name
 FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY line, kind, name) AS rn FROM v_declared) WHERE rn = 1"""
-register("dep_nodes", lambda s, d: G.dep_nodes(files(s, d)), q("SELECT * FROM v_nodes"))
+register("dep_nodes", lambda s, d: G.dep_nodes(G.declarations(files(s, d))), q("SELECT * FROM v_nodes"))
+
+
+
+def _edges(s, d, fn):
+    decl = cut_lineage(G.declarations(files(s, d)))
+    return fn(decl, G.dep_nodes(decl))
+
 
 VIEWS["v_calls"] = f"""
 SELECT file_name, node_id, callee, count(*) AS n_calls FROM (
@@ -35,7 +43,7 @@ VIEWS["v_call_edges"] = """
 SELECT c.node_id AS source_id, b.target_id, c.file_name AS source_file, b.target_file, 'MethodCall' AS type, c.n_calls
 FROM v_calls c JOIN v_best b ON b.name = c.callee AND b.kind = 'method'
 WHERE NOT EXISTS (SELECT 1 FROM v_nodes n WHERE n.file_name = c.file_name AND n.name = c.callee AND n.kind = 'method')"""
-register("dep_call_edges", lambda s, d: G.call_edges(files(s, d)), q("SELECT * FROM v_call_edges"))
+register("dep_call_edges", lambda s, d: _edges(s, d, G.call_edges), q("SELECT * FROM v_call_edges"))
 VIEWS["v_bases"] = f"""
 SELECT DISTINCT file_name, node_id, regexp_extract(trim(b), {lit(re2('(' + chr(92) + 'w+)(?:<.*)?$'))}, 1) AS base FROM (
 SELECT file_name, node_id, unnest(string_split(bases, ',')) AS b FROM v_declared WHERE kind = 'class' AND bases <> '' AND language = 'csharp')"""
@@ -43,7 +51,7 @@ VIEWS["v_inherit_edges"] = """
 SELECT c.node_id AS source_id, b.target_id, c.file_name AS source_file, b.target_file, 'Inheritance' AS type
 FROM v_bases c JOIN v_best b ON b.name = c.base AND b.kind = 'class'
 WHERE NOT EXISTS (SELECT 1 FROM v_nodes n WHERE n.file_name = c.file_name AND n.name = c.base AND n.kind = 'class')"""
-register("dep_inherit_edges", lambda s, d: G.inherit_edges(files(s, d)), q("SELECT * FROM v_inherit_edges"))
+register("dep_inherit_edges", lambda s, d: _edges(s, d, G.inherit_edges), q("SELECT * FROM v_inherit_edges"))
 VIEWS["v_modules"] = """SELECT DISTINCT module, lower(translate(module, '.\\', '//')) AS norm FROM v_imports WHERE module <> ''
 AND language IN ('python', 'java', 'javascript', 'typescript', 'go')"""
 VIEWS["v_targets"] = """
@@ -54,7 +62,8 @@ VIEWS["v_import_edges"] = """
 SELECT a.node_id AS source_id, b.node_id AS target_id, i.file_name AS source_file, t.target_file, 'TypeReference' AS type, i.module, i.line
 FROM v_imports i JOIN v_targets t ON i.module = t.module JOIN v_first a ON a.file_name = i.file_name JOIN v_first b ON b.file_name = t.target_file
 WHERE i.file_name <> t.target_file AND i.language IN ('python', 'java', 'javascript', 'typescript', 'go')"""
-register("dep_import_edges", lambda s, d: G.import_edges(files(s, d)), q("SELECT * FROM v_import_edges"))
+register("dep_import_edges", lambda s, d: G.import_edges(
+    cut_lineage(SY.extract_imports(files(s, d))), files(s, d), G.dep_nodes(G.declarations(files(s, d)))), q("SELECT * FROM v_import_edges"))
 
 VIEWS["v_degree"] = "SELECT node, count(*) AS degree FROM (SELECT src AS node FROM v_edges UNION ALL SELECT dst FROM v_edges) GROUP BY node"
 register("dep_connectivity", lambda s, d: G.connectivity(V.edges(s, d)), q("SELECT * FROM v_degree"))
@@ -78,17 +87,15 @@ LEFT JOIN v_all_degree d ON d.node = n.node_id"""
 
 
 def _graph(s, d):
-    f = files(s, d)
-    nodes = G.dep_nodes(f)
-    return nodes, G.all_edges(f, nodes)
+    return G.dependency_graph(files(s, d))
 
 
 register("dep_impact", lambda s, d: G.impact(*_graph(s, d)), q("SELECT * FROM v_impact"))
 register("dep_god_nodes", lambda s, d: G.god_nodes(*_graph(s, d)),
          q("SELECT node_id, name, file_name, degree FROM v_impact WHERE kind = 'class' AND degree > 20"))
 VIEWS["v_walk"] = """
-SELECT source_file AS start, target_file AS at, 1 AS n FROM (SELECT DISTINCT source_file, target_file FROM v_all_edges)
-UNION SELECT w.start, e.target_file, w.n + 1 FROM v_walk w JOIN (SELECT DISTINCT source_file, target_file FROM v_all_edges) e ON w.at = e.source_file WHERE w.n < 12"""
+SELECT source_file AS start, target_file AS here, 1 AS n FROM (SELECT DISTINCT source_file, target_file FROM v_all_edges)
+UNION SELECT w.start, e.target_file, w.n + 1 FROM v_walk w JOIN (SELECT DISTINCT source_file, target_file FROM v_all_edges) e ON w.here = e.source_file WHERE w.n < 12"""
 
 
 def _file_impact(s, d):
@@ -102,7 +109,7 @@ SELECT file_name, affected_files, affected_classes, affected_methods, max_degree
   CASE WHEN affected_files > 10 OR max_degree > 30 OR in_cycle THEN 'Critical' WHEN affected_files > 5 OR max_degree > 20 THEN 'High'
        WHEN affected_files > 2 OR max_degree > 10 THEN 'Medium' ELSE 'Low' END AS risk
 FROM (SELECT t.file_name, coalesce(f, 0) AS affected_files, coalesce(c, 0) AS affected_classes, coalesce(m, 0) AS affected_methods, max_degree,
-  t.file_name IN (SELECT start FROM v_walk WHERE start = at) AS in_cycle
+  t.file_name IN (SELECT start FROM v_walk WHERE start = here) AS in_cycle
 FROM (SELECT file_name, coalesce(max(degree), 0) AS max_degree FROM v_nodes LEFT JOIN v_all_degree ON node = node_id GROUP BY file_name) t
 LEFT JOIN (SELECT target_file, count(DISTINCT source_file) AS f, count(DISTINCT cls) AS c, count(DISTINCT met) AS m FROM v_in GROUP BY target_file) i ON i.target_file = t.file_name)""", recursive=True))
 VIEWS["v_paths"] = """

@@ -231,7 +231,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    offset_ms = F.floor((F.unix_micros("ts") - F.lit(1704067200000000)) / 600000)
+    # time is compressed so that one minute holds several events
+    micros = F.timestamp_diff("MICROSECOND", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+    offset_ms = F.floor(micros / 600000)
     return e.select(
         F.col("event_id").alias("request_id"),
         (F.col("user_id") % 20).alias("client"),
