@@ -54,6 +54,7 @@ def n_of(text: str, p: str, f: str = "i") -> str:
 
 _CATEGORY = ("CASE event_type WHEN 'error' THEN 'SQL Injection' WHEN 'signup' THEN 'Authentication' "
              "WHEN 'purchase' THEN 'Performance' WHEN 'click' THEN 'Architecture' ELSE 'Design' END")
+_FCAT = f"CASE WHEN event_type = 'view' AND event_id % 7 = 0 THEN 'Naming' ELSE {_CATEGORY} END"
 _STEP = "CASE WHEN value < 25 THEN 0 WHEN value < 75 THEN 1 WHEN value < 150 THEN 2 ELSE 3 END"
 _LINE = "(event_id // 50 % 40 + 1)"
 _AGENTS = ["security", "performance", "architecture"]
@@ -79,9 +80,9 @@ SELECT regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) || '_' || page_id || '.
 FROM pages"""
 VIEWS["v_findings"] = f"""
 SELECT event_id AS finding_id, event_id % 10 + 1 AS run_number, {pick(_AGENTS, 'user_id % 3')} AS agent,
-       {_CATEGORY} AS category, {pick(SEVERITIES, _STEP)} AS severity,
+       {_FCAT} AS category, {pick(SEVERITIES, _STEP)} AS severity,
        'Unit' || (event_id % 50) || '.cs:' || {_LINE} AS location,
-       {_CATEGORY} || ' in Unit' || (event_id % 50) || '.cs:' || {_LINE} AS description,
+       {_FCAT} || ' in Unit' || (event_id % 50) || '.cs:' || {_LINE} AS description,
        event_type AS ev1, props AS ev2
 FROM events"""
 VIEWS["v_run_findings"] = """
