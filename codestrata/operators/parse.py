@@ -19,8 +19,18 @@ EVIDENCE_LIMIT = 3
 
 
 def _valid(c: Column) -> Column:
+    """The text if it is one whole JSON object or array.
+
+    The parser stops after the first value, so the text is wrapped in brackets: anything
+    after that value then breaks the parse or shows up as a second element.
+    """
     t = F.trim(c)
-    return F.when((t.startswith("{") | t.startswith("[")) & F.try_parse_json(t).isNotNull(), t)
+    v = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+    return F.when((t.startswith("{") | t.startswith("[")) & v.isNotNull() & F.try_variant_get(v, "$[1]", "string").isNull(), t)
+
+
+def _no_trailing_commas(c: Column) -> Column:
+    return F.regexp_replace(c, r",(\s*[\]}])", "$1")
 
 
 def _span(raw: Column, opening: str, closing: str) -> Column:
@@ -42,8 +52,9 @@ def extract_json(raw: Column) -> Column:
     """JSON text of an answer: whole, fenced, between outer marks, or after cleaning; null if none."""
     fenced = F.regexp_extract(raw, r"(?is)```\s*json\s*\n?(.*?)```", 1)
     generic = F.regexp_extract(raw, r"(?is)```\s*\w*\s*\n?(.*?)```", 1)
-    return F.coalesce(_valid(raw), _valid(fenced), _valid(generic), _valid(_span(raw, r"\{", r"\}")), _valid(_span(raw, r"\[", r"\]")),
-                      _valid(_cleaned(raw)))
+    outer = _span(raw, r"\{", r"\}")
+    return F.coalesce(_valid(raw), _valid(fenced), _valid(generic), _valid(outer), _valid(_no_trailing_commas(outer)),
+                      _valid(_span(raw, r"\[", r"\]")), _valid(_cleaned(raw)))
 
 
 def structured(responses: DataFrame) -> DataFrame:
@@ -81,7 +92,7 @@ def match_batch_answers(responses: DataFrame, expected: str = "expected") -> Dat
 
     ``expected`` is the response's own list of file names (one batch), so matching stays in the row.
     """
-    body = F.regexp_replace(_span(F.col("raw"), r"\{", r"\}"), r",(\s*[\]}])", "$1")
+    body = _no_trailing_commas(_span(F.col("raw"), r"\{", r"\}"))
     parsed = F.from_json(body, BATCH_SCHEMA, LENIENT)["analyses"]
     d = responses.withColumn("entries", F.filter(parsed, lambda a: (a["fileName"] != "") & (a["assessment"] != "")))
 
