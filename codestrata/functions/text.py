@@ -62,6 +62,11 @@ def split_lines(text: Column) -> Column:
     return F.split(unify_newlines(text), "\n", -1)
 
 
+def strip(text: Column) -> Column:
+    """Trim every kind of white space, not only blanks."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/\\]*)$", 1)
 

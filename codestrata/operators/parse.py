@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..data import keywords as K
-from ..functions.text import any_of, contains_ci, jre
+from ..functions.text import any_of, contains_ci, jre, strip
 
 ANALYSIS_SCHEMA = (
     "confidenceScore int, businessImpact string, "
@@ -24,7 +24,7 @@ def _valid(c: Column) -> Column:
     The parser stops after the first value, so the text is wrapped in brackets: anything
     after that value then breaks the parse or shows up as a second element.
     """
-    t = F.trim(c)
+    t = strip(c)
     v = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
     return F.when((t.startswith("{") | t.startswith("[")) & v.isNotNull() & F.try_variant_get(v, "$[1]", "string").isNull(), t)
 
@@ -39,7 +39,7 @@ def _span(raw: Column, opening: str, closing: str) -> Column:
 
 
 def _cleaned(raw: Column) -> Column:
-    t = F.regexp_replace(F.trim(raw), r"(?im)^```\s*\w*\s*", "")
+    t = F.regexp_replace(strip(raw), r"(?im)^```\s*\w*\s*", "")
     t = F.regexp_replace(t, r"(?m)```\s*$", "")
     t = F.regexp_extract(t, r"(?s)([{\[].*[}\]])", 1)
     t = F.regexp_replace(t, r",(\s*[\]}])", "$1")
@@ -103,7 +103,7 @@ def match_batch_answers(responses: DataFrame, expected: str = "expected") -> Dat
         hit = F.try_element_at(fits, F.lit(-1))["assessment"]
         at = F.instr(F.lower("raw"), low)
         after = F.substring(F.col("raw"), at + F.length(name), F.lit(2000))
-        after = F.regexp_replace(F.trim(F.regexp_replace(after, r"(?U)^\s+|\s+$", "")), r"^[:\- \n\r]+", "")
+        after = F.regexp_replace(strip(after), r"^[:\- \n\r]+", "")
         section = F.when((at > 0) & (F.length(after) > 50), F.substring(after, 1, 400))
         text = F.coalesce(hit, section, F.lit("Analysis completed. Detailed review recommended. (Parsed from batch response)"))
         source = F.when(hit.isNotNull(), "parsed").when(section.isNotNull(), "text").otherwise("default")
@@ -115,10 +115,10 @@ def match_batch_answers(responses: DataFrame, expected: str = "expected") -> Dat
 def prose_findings(responses: DataFrame) -> DataFrame:
     """Findings of prose answers: labelled, numbered or bulleted texts, else sentences that name a risk."""
     def texts(p: str, f: str) -> Column:
-        return F.transform(F.regexp_extract_all("raw", F.lit(jre(p, f)), F.lit(1)), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+        return F.transform(F.regexp_extract_all("raw", F.lit(jre(p, f)), F.lit(1)), strip)
 
     labelled = F.filter(F.array_distinct(F.concat(*[texts(p, f) for p, f in K.PROSE_FORMS])), lambda x: x != "")
-    sentences = F.transform(F.split("raw", r"(?<=[.!?])\s+"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    sentences = F.transform(F.split("raw", r"(?<=[.!?])\s+"), strip)
     risky = F.array_distinct(F.filter(sentences, lambda x: x.rlike(jre(K.RISK_SENTENCE))))
     d = responses.withColumn("labelled", labelled)
     found = F.when(F.size("labelled") > 0, F.col("labelled")).otherwise(risky)
@@ -145,7 +145,7 @@ def finding_evidence(df: DataFrame, raw: str = "raw", text: str = "finding_text"
     """Code block after the finding, then up to 200 characters of the finding itself."""
     at = F.instr(F.lower(raw), F.lower(text))
     after = F.expr(f"substring({raw}, instr(lower({raw}), lower({text})))")
-    block = F.trim(F.regexp_extract(after, r"```[a-zA-Z]*\s*([\s\S]+?)```", 1))
+    block = strip(F.regexp_extract(after, r"```[a-zA-Z]*\s*([\s\S]+?)```", 1))
     parts = F.array_compact(F.array(F.when((at > 0) & (block != ""), block), F.substring(F.col(text), 1, 200)))
     return df.withColumn("evidence", F.array_distinct(parts))
 
@@ -156,7 +156,7 @@ def sentences_of(raw: Column) -> Column:
 
 def keyword_evidence(raw: Column, word: str) -> Column:
     hits = F.filter(sentences_of(raw), lambda s: F.lower(s).contains(word.lower()))
-    return F.slice(F.transform(hits, lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), 1, EVIDENCE_LIMIT)
+    return F.slice(F.transform(hits, strip), 1, EVIDENCE_LIMIT)
 
 
 def _first_sentence(raw: Column, words: list[str]) -> Column:
@@ -234,7 +234,7 @@ def keyword_scores(responses: DataFrame) -> DataFrame:
 
     def impact(spec: str) -> Column:
         first = _first_sentence(raw, K.IMPACT_WORDS[spec])
-        return F.coalesce(F.regexp_replace(first, r"(?U)^\s+|\s+$", ""), F.lit(K.IMPACT_DEFAULT[spec]))
+        return F.coalesce(strip(first), F.lit(K.IMPACT_DEFAULT[spec]))
 
     def metric(i: int):
         return lambda spec: count_words(raw, K.METRIC_WORDS[spec][i][1])

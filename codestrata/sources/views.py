@@ -38,7 +38,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per source file: a code text followed by the document's prose."""
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars"))
+    return shape_files(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")))
+
+
+def shape_files(d: DataFrame) -> DataFrame:
+    """The projection alone: also serves a stream of documents."""
     src = F.regexp_extract("source", r"(\d+)", 1).cast("int")
     module = _pick(MODULES, src % 5)
     ext = _pick(EXTENSIONS, F.col("doc_id") % 7)
