@@ -264,11 +264,16 @@ LEFT JOIN (SELECT file_name, count(*) FILTER (kind = 'class') AS classes, count(
 LEFT JOIN (SELECT file_name, count(*) AS imports FROM v_imports GROUP BY file_name) i ON n.file_name = i.file_name"""
 register("file_counts", lambda s, d: SY.file_counts(files(s, d)), q("SELECT * FROM v_counts"))
 register("cyclomatic", lambda s, d: M.cyclomatic(files(s, d)), q("SELECT file_name, language, loc, cyclomatic FROM v_cyclo"))
-C, ME, IM = F.col("classes"), F.col("methods"), F.col("imports")
-register("file_complexity", lambda s, d: SY.file_counts(files(s, d)).select("file_name", M.file_complexity(C, ME, IM).alias("score")),
+
+
+def _score(fn):
+    return fn(F.col("classes"), F.col("methods"), F.col("imports"))
+
+
+register("file_complexity", lambda s, d: SY.file_counts(files(s, d)).select("file_name", _score(M.file_complexity).alias("score")),
          q("SELECT file_name, least(greatest(classes * 10 + methods * 2 + imports, 0), 100) AS score FROM v_counts"))
 register("report_complexity", lambda s, d: SY.file_counts(files(s, d)).select(
-    "file_name", M.report_complexity(C, ME, IM).alias("report_score"), M.page_complexity(C, ME, IM).alias("page_score")),
+    "file_name", _score(M.report_complexity).alias("report_score"), _score(M.page_complexity).alias("page_score")),
     q("SELECT file_name, least((classes * 3 + methods + imports * 2) // 2, 100) AS report_score, "
       "least((classes * 10 + methods * 2 + imports * 3) // 5, 100) AS page_score FROM v_counts"))
 _py = "language = 'python'"
