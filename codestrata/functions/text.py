@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .hints import required_words
+
 
 def jre(pattern: str, flags: str = "i") -> str:
     r"""Java form of a rule pattern: Unicode classes, ``.`` stops at ``\n`` only."""
@@ -34,6 +36,19 @@ def has(text: Column, pattern: str, flags: str = "i") -> Column:
     return text.rlike(jre(pattern, flags))
 
 
+def finds(text: Column, low: Column, pattern: str, flags: str = "i") -> Column:
+    """``has`` behind a substring pre-test on the lower-case text ``low``."""
+    words = required_words(pattern)
+    cond = has(text, pattern, flags)
+    return any_of([low.contains(w) for w in words]) & cond if words else cond
+
+
+def finds_sql(text: str, low: str, pattern: str, flags: str = "i") -> str:
+    words = required_words(pattern)
+    cond = f"{text} RLIKE {sql_text(jre(pattern, flags))}"
+    return f"(({' OR '.join(f'contains({low}, {sql_text(w)})' for w in words)}) AND {cond})" if words else f"({cond})"
+
+
 def n_of(text: Column, pattern: str, flags: str = "i") -> Column:
     return F.regexp_count(text, F.lit(jre(pattern, flags)))
 

@@ -7,14 +7,15 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..data.rules import ALL_RULES, Rule
-from ..functions.text import jre, pin, sql_text
+from ..functions.text import finds_sql, jre, pin, sql_text
 
 RULE_LIMIT = 5000  # rule rows folded into one plan; larger tables go through the join form
 
 
 def rule_sql(rule: Rule) -> str:
+    """Condition over ``content`` and its lower-case copy ``_low``."""
     def find(p: str) -> str:
-        return f"content RLIKE {sql_text(jre(p, rule.flags))}"
+        return finds_sql("content", "_low", p, rule.flags)
 
     if rule.min_count:
         cond = f"regexp_count(content, {sql_text(jre(rule.must[0], rule.flags))}) > {rule.min_count}"
@@ -25,7 +26,7 @@ def rule_sql(rule: Rule) -> str:
 
 
 def _hits(rules: Iterable[Rule]) -> Column:
-    """Array of the rules that fire; rules of other languages are not even tested."""
+    """Needs ``content``, ``_low`` and ``language``. Array of the rules that fire; rules of other languages are not even tested."""
     groups: dict[tuple[str, ...], list[Rule]] = {}
     for r in rules:
         groups.setdefault(r.languages, []).append(r)
@@ -39,13 +40,14 @@ def _hits(rules: Iterable[Rule]) -> Column:
 
 def rule_scan(files: DataFrame, rules: list[Rule] | None = None, extra: list[str] | None = None) -> DataFrame:
     """One row per (file, rule) that fires."""
-    return files.select("file_name", "language", *(extra or []), F.inline(_hits(rules if rules is not None else ALL_RULES)))
+    d = files.withColumn("_low", F.lower("content"))
+    return d.select("file_name", "language", *(extra or []), F.inline(_hits(rules if rules is not None else ALL_RULES)))
 
 
 def hit_counts(content_df: DataFrame, rules: list[Rule] | None = None, extra: list[str] | None = None) -> DataFrame:
     """Hits per family as columns of the file row: no explode, no shuffle."""
     hits = _hits(rules if rules is not None else ALL_RULES)
-    df = pin(content_df, hits.alias("hits"))
+    df = pin(content_df.withColumn("_low", F.lower("content")), hits.alias("hits"))
 
     def n(fam: str) -> Column:
         return F.coalesce(F.size(F.filter("hits", lambda h: h["family"] == fam)), F.lit(0)).alias(f"{fam}_hits")

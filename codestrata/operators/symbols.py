@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import jre, pin, split_lines, sql_text
+from ..functions.text import finds_sql, jre, pin, split_lines, sql_text
 
 _MODS = r"(?:public|private|protected|internal|static|abstract|sealed|partial|final|export|default|async|virtual|override)"
 JS_KEYWORDS = ["if", "for", "while", "switch", "catch", "function", "return", "else", "do", "with"]
@@ -65,6 +65,14 @@ IMPORTS = {
 }
 IMPORTS["typescript"] = IMPORTS["javascript"]
 CONTAINERS = {"csharp": r"^\s*namespace\s+([\w.]+)", "java": r"^\s*package\s+([\w.]+)", "go": r"^\s*package\s+(\w+)"}
+# cheap line tests every pattern of the language implies
+GATES = {
+    "csharp": r"x RLIKE '^\\s*(?:\\[|public|private|protected|internal|static|abstract|sealed|partial|final|export|default|async|virtual|override|readonly|const|class|interface|event)'",
+    "javascript": "contains(x, '{') OR contains(x, 'class') OR contains(x, 'interface')",
+    "python": "contains(x, 'class') OR contains(x, 'def')",
+    "go": "startswith(x, 'type') OR startswith(x, 'func')",
+}
+GATES["java"], GATES["typescript"] = GATES["csharp"], GATES["javascript"]
 FIELDS = ["mods", "rtype", "name", "params", "recv"]
 
 
@@ -85,7 +93,7 @@ def _mark_sql(lang: str) -> str:
         fields = ", ".join(f"'{f}', regexp_extract(x, {p}, {groups[f]})" if f in groups else f"'{f}', ''" for f in FIELDS)
         bases = _bases_sql(lang) if kind == "class" else "''"
         cases.append(f"WHEN {cond} THEN named_struct('line', i + 1, 'kind', '{kind}', {fields}, 'bases', {bases})")
-    return "CASE " + " ".join(cases) + " END"
+    return f"CASE WHEN {GATES[lang]} THEN CASE " + " ".join(cases) + " END END"
 
 
 def _per_language(bodies: dict[str, str], otherwise: str = "") -> Column:
@@ -142,7 +150,7 @@ def extract_imports(files: DataFrame) -> DataFrame:
     for lang, (pattern, groups, wild) in IMPORTS.items():
         p = sql_text(jre(pattern, ""))
         module = "coalesce(" + ", ".join(f"nullif(regexp_extract(x, {p}, {g}), '')" for g in groups) + ", '')"
-        bodies[lang] = (f"filter(transform(lines, (x, i) -> CASE WHEN x RLIKE {p} THEN named_struct('line', i + 1, 'module', {module}, "
+        bodies[lang] = (f"filter(transform(lines, (x, i) -> CASE WHEN {finds_sql('x', 'x', pattern, '')} THEN named_struct('line', i + 1, 'module', {module}, "
                         f"'is_wildcard', x RLIKE {sql_text(jre(wild, ''))}) END), m -> m IS NOT NULL)")
     return file_lines(files).select("file_name", "language", F.inline(_per_language(bodies)))
 
@@ -167,7 +175,7 @@ def _count_marks(marks: Column, kind: str) -> Column:
 
 def file_counts(files: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Class, method, property and import counts per file, in one pass and no shuffle."""
-    imports = _per_language({lang: f"size(filter(lines, x -> x RLIKE {sql_text(jre(p, ''))}))" for lang, (p, _, _) in IMPORTS.items()}, "0")
+    imports = _per_language({lang: f"size(filter(lines, x -> {finds_sql('x', 'x', p, '')}))" for lang, (p, _, _) in IMPORTS.items()}, "0")
     return with_marks(files, extra).select(
         "file_name", "language", *(extra or []),
         _count_marks(F.col("marks"), "class").alias("classes"), _count_marks(F.col("marks"), "method").alias("methods"),

@@ -181,7 +181,7 @@ def redact_sql(x: str) -> str:
 
 
 VIEWS["v_redacted"] = f"SELECT doc_id, {redact_sql('text')} AS t FROM documents"
-register("redact_text", lambda s, d: V.table(s, d, "documents").select("doc_id", SC.redact_text(F.col("text")).alias("text")),
+register("redact_text", lambda s, d: V.spread(V.table(s, d, "documents").select("doc_id", "text")).select("doc_id", SC.redact_text(F.col("text")).alias("text")),
          q("SELECT doc_id, CASE WHEN length(t) > 5000 THEN substr(t, 1, 5000) || '... [TRUNCATED]' ELSE t END AS text FROM v_redacted"))
 
 
