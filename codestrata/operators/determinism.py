@@ -78,7 +78,9 @@ def run_stats(findings: DataFrame, consistency: DataFrame, run_count: int) -> Da
     sizes = runs.join(findings.groupBy("run_number").agg(F.count("*").alias("n")), "run_number", "left").fillna(0, ["n"])
     per = sizes.agg(F.round(F.avg("n"), 4).alias("avg_findings"), F.min("n").alias("min_findings"), F.max("n").alias("max_findings"),
                     F.round(F.stddev_pop("n"), 4).alias("sd_findings"))
-    return keys.join(per, F.lit(True))
+    both = [keys.withColumn("side", F.lit("keys")), per.withColumn("side", F.lit("runs"))]
+    one = both[0].unionByName(both[1], allowMissingColumns=True)
+    return one.agg(*[F.max(c).alias(c) for c in one.columns if c != "side"])
 
 
 def run_similarity(findings: DataFrame) -> DataFrame:
@@ -95,7 +97,9 @@ def run_similarity(findings: DataFrame) -> DataFrame:
     size = d.groupBy("run_number").agg(F.count("*").alias("size"))
     a = size.select(F.col("run_number").alias("run_a"), F.col("size").alias("size_a"))
     b = size.select(F.col("run_number").alias("run_b"), F.col("size").alias("size_b"))
-    # all pairs of runs are the result asked for; runs are few by nature
-    out = a.join(b, F.col("run_a") < F.col("run_b")).join(common, ["run_a", "run_b"], "left").fillna(0, ["common"])
+    # all pairs of runs are the result asked for; the number of runs is the caller's choice
+    # the run list is one row, so the pairs are unfolded from it
+    runs = size.agg(F.array_sort(F.collect_list("run_number")).alias("runs")).select(F.inline(pairs))
+    out = runs.join(a, "run_a").join(b, "run_b").join(common, ["run_a", "run_b"], "left").fillna(0, ["common"])
     union = F.col("size_a") + F.col("size_b") - F.col("common")
     return out.select("run_a", "run_b", "common", union.alias("all_keys"), F.round(F.col("common") / union * 100.0, 4).alias("similarity"))

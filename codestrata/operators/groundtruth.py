@@ -69,17 +69,17 @@ def _synonym_group(c: Column) -> Column:
 
 def category_pairs(findings: DataFrame, issues: DataFrame) -> DataFrame:
     """Distinct category texts that match: equal, one inside the other, or synonyms."""
-    a = findings.select("fcat").distinct()
-    b = issues.select("icat").distinct()
-    down = containing_pairs(a.where("fcat <> ''"), "fcat", b.where("icat <> ''"), "icat")
-    up = containing_pairs(b.where("icat <> ''"), "icat", a.where("fcat <> ''"), "fcat").select("fcat", "icat")
-    ga = a.withColumn("g", _synonym_group(F.col("fcat"))).where("g IS NOT NULL")
-    gb = b.withColumn("g", _synonym_group(F.col("icat"))).where("g IS NOT NULL")
+    # the distinct texts are small and read several times
+    a = cut_lineage(findings.select("fcat").distinct())
+    b = cut_lineage(issues.select("icat").distinct())
+    down = containing_pairs(a, "fcat", b, "icat").select("fcat", "icat")
+    up = containing_pairs(b, "icat", a, "fcat").select("fcat", "icat")
+    by_group = a.withColumn("g", _synonym_group(F.col("fcat"))).where("g IS NOT NULL").join(
+        b.withColumn("g", _synonym_group(F.col("icat"))).where("g IS NOT NULL"), "g").select("fcat", "icat")
     # the empty text is inside every text
-    empty_a = a.where("fcat = ''").select("fcat")
-    empty_b = b.where("icat = ''").select("icat")
-    blank = a.join(empty_b, F.lit(True)).union(empty_a.join(b, F.lit(True)).select("fcat", "icat"))
-    return down.select("fcat", "icat").union(up).union(ga.join(gb, "g").select("fcat", "icat")).union(blank).distinct()
+    blank = b.where(a.where("fcat = ''").exists()).select(F.lit("").alias("fcat"), "icat").union(
+        a.where(b.where("icat = ''").exists()).select("fcat", F.lit("").alias("icat")))
+    return down.union(up).union(by_group).union(blank).distinct()
 
 
 def _prepared(findings: DataFrame, issues: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -125,7 +125,7 @@ def _lookups(f: DataFrame, i: DataFrame, cfg: MatchConfig) -> tuple[DataFrame, D
     places = base.where("iloc <> ''").groupBy("icat", "isev", "iloc", F.col("iline").isNotNull().alias("i_has_line")).agg(*_profile())
     a, b = texts.select("floc").distinct(), places.select("iloc", "i_has_line")
     need_all = texts.where("NOT has_line").select("floc")
-    b = b.where("NOT i_has_line").select("iloc").union(b.join(need_all.limit(1), F.lit(True), "left_semi").select("iloc")).distinct()
+    b = b.where(~F.col("i_has_line") | need_all.exists()).select("iloc").distinct()
     near_text = containing_pairs(a, "floc", b, "iloc").select("floc", "iloc").union(
         containing_pairs(b, "iloc", a, "floc").select("floc", "iloc")).distinct()
     by_place = (near_text.join(places, "iloc").join(pairs, "icat").join(texts, ["floc", "fcat"])

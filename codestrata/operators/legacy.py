@@ -10,27 +10,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..data import rules as R
-from ..functions.text import finds, jre, unify_newlines
+from ..functions.text import finds_sql, jre, sql_text, unify_newlines
 from .symbols import _MODS, body_of, with_marks
 
 
 METHOD_HEAD = rf"^\s*(?:\[[^\]]*\]\s*)*(?:{_MODS}\s+)+[\w<>\[\],.?]+\s+\w+\s*\("
 
 
-def _located(text: Column, low: Column, pattern: str, pattern_id: Column, flags: str) -> Column:
-    token = jre(rf"\n|(?=({pattern}))", flags)
-    tokens = F.regexp_extract_all(text, F.lit(token), F.lit(1))
-    at = F.filter(F.transform(tokens, lambda x, i: F.struct(i.alias("i"), x.alias("snippet"))), lambda t: t["snippet"] != "")
-    at = F.transform(at, lambda t, m: F.struct(pattern_id.alias("pattern_id"), (t["i"] - m + 1).cast("int").alias("line"),
-                                               t["snippet"].alias("snippet")))
-    return F.when(finds(text, low, pattern, flags), at)
+def _located_sql(pattern: str, pattern_id: str, flags: str) -> str:
+    token = sql_text(jre(rf"\n|(?=({pattern}))", flags))
+    tokens = f"transform(regexp_extract_all(_t, {token}, 1), (x, i) -> named_struct('i', i, 'snippet', x))"
+    rows = (f"transform(filter({tokens}, t -> t.snippet <> ''), (t, m) -> named_struct('pattern_id', {sql_text(pattern_id)}, "
+            f"'line', t.i - m + 1, 'snippet', t.snippet))")
+    return f"CASE WHEN {finds_sql('_t', '_low', pattern, flags)} THEN {rows} END"
 
 
 def match_lines(files: DataFrame, patterns: list[tuple[str, str]], flags: str = "i") -> DataFrame:
     """Every match of every pattern, with line number and text; matches may span lines."""
     text = unify_newlines(F.col("content"))
-    arrays = [_located(F.col("_t"), F.col("_low"), p, F.lit(pid), flags) for pid, p in patterns]
-    hits = F.flatten(F.array_compact(F.array(*arrays)))
+    hits = F.expr(f"flatten(array_compact(array({', '.join(_located_sql(p, pid, flags) for pid, p in patterns)})))")
     d = files.select("file_name", "language", text.alias("_t"), F.lower(text).alias("_low"))
     return d.select("file_name", "language", F.inline(hits))
 

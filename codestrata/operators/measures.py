@@ -135,7 +135,8 @@ def project_metadata(files: DataFrame, max_namespaces: int = 10, max_dependencie
                              lambda x: ~x.startswith("System") & x.contains(".")), lambda x: F.struct(F.lit("dep").alias("what"), x.alias("name"))))
     names = cs.select("project", F.inline(F.array_distinct(found))).distinct()
     w = W.partitionBy("project", "what").orderBy("name")
-    top = names.withColumn("rn", F.row_number().over(w)).where(
+    # the plain rank filter is applied per task before the shuffle
+    top = names.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max(max_namespaces, max_dependencies)).where(
         ((F.col("what") == "ns") & (F.col("rn") <= max_namespaces)) | ((F.col("what") == "dep") & (F.col("rn") <= max_dependencies)))
 
     def joined(what: str) -> Column:
