@@ -9,13 +9,16 @@ from ..functions.text import LANGUAGES, any_of, base_name, detect_language, unif
 MAX_MB = 5
 
 
-def read_corpus(spark: SparkSession, path: str, extensions=tuple(LANGUAGES), max_mb: int = MAX_MB) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, extensions=tuple(LANGUAGES), max_mb: int = MAX_MB, keep_empty: bool = True) -> DataFrame:
     """Read a tree of source files. A file over the size cap keeps its row with status Error.
 
     Content of files over the cap is dropped in the scan stage; no text is shuffled.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     raw = raw.where(any_of([F.lower("path").endswith("." + e) for e in extensions]))
+    raw = raw.select("path", "modificationTime", "length", "content")
+    if keep_empty:
+        raw = raw.unionByName(_empty_files(raw, extensions))
     over = F.col("length") > max_mb * 1024 * 1024
     text = F.when(~over, unify_newlines(F.decode("content", "UTF-8")))
     return raw.select(
@@ -23,3 +26,15 @@ def read_corpus(spark: SparkSession, path: str, extensions=tuple(LANGUAGES), max
         F.col("modificationTime").alias("last_modified"), detect_language(F.col("path")).alias("language"),
         F.when(over, "Error").otherwise("Completed").alias("status"),
         F.when(over, F.lit(f"file exceeds {max_mb} MB")).alias("error"))
+
+
+def _empty_files(raw: DataFrame, extensions) -> DataFrame:
+    """Files of length zero: the scan leaves them out, the file index the driver already holds names them."""
+    spark = raw.sparkSession
+    named = spark.createDataFrame([(p,) for p in raw.inputFiles()], "uri string").where(
+        any_of([F.lower("uri").endswith("." + e) for e in extensions]))
+    plain = F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B")))
+    named = named.select(F.regexp_replace(plain, "^file:/+", "file:/").alias("path"))
+    seen = raw.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"))
+    return named.join(seen, "path", "left_anti").select(
+        "path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content"))
