@@ -112,7 +112,7 @@ def _as_array(df: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 
 def _lookups(f: DataFrame, i: DataFrame, cfg: MatchConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
-    # both are read by every lookup below, so they are computed once
+    # these are read by every lookup below, so they are computed once
     pairs = cut_lineage(category_pairs(f, i))
     base = cut_lineage(i.groupBy("icat", "isev", "iline", "iloc").agg(F.count("*").alias("n"), F.min("issue").alias("first")))
     by_cat = base.groupBy("icat", "isev").agg(*_profile()).join(pairs, "icat").groupBy("fcat", "isev").agg(*_profile())
@@ -121,7 +121,7 @@ def _lookups(f: DataFrame, i: DataFrame, cfg: MatchConfig) -> tuple[DataFrame, D
                .select("icat", "isev", "n", "first", near).groupBy("icat", "isev", "fline").agg(*_profile())
                .join(pairs, "icat").groupBy("fcat", "isev", "fline").agg(*_profile()))
     # places compare as text where either side has no line
-    texts = f.select("floc", "fcat", F.col("fline").isNotNull().alias("has_line")).where("floc <> ''").distinct()
+    texts = cut_lineage(f.select("floc", "fcat", F.col("fline").isNotNull().alias("has_line")).where("floc <> ''").distinct())
     places = base.where("iloc <> ''").groupBy("icat", "isev", "iloc", F.col("iline").isNotNull().alias("i_has_line")).agg(*_profile())
     a, b = texts.select("floc").distinct(), places.select("iloc", "i_has_line")
     need_all = texts.where("NOT has_line").select("floc")

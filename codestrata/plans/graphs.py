@@ -63,7 +63,7 @@ SELECT a.node_id AS source_id, b.node_id AS target_id, i.file_name AS source_fil
 FROM v_imports i JOIN v_targets t ON i.module = t.module JOIN v_first a ON a.file_name = i.file_name JOIN v_first b ON b.file_name = t.target_file
 WHERE i.file_name <> t.target_file AND i.language IN ('python', 'java', 'javascript', 'typescript', 'go')"""
 register("dep_import_edges", lambda s, d: G.import_edges(
-    cut_lineage(SY.extract_imports(files(s, d))), files(s, d), G.dep_nodes(G.declarations(files(s, d)))), q("SELECT * FROM v_import_edges"))
+    cut_lineage(SY.extract_imports(files(s, d))), files(s, d), cut_lineage(G.dep_nodes(G.declarations(files(s, d))))), q("SELECT * FROM v_import_edges"))
 
 VIEWS["v_degree"] = "SELECT node, count(*) AS degree FROM (SELECT src AS node FROM v_edges UNION ALL SELECT dst FROM v_edges) GROUP BY node"
 register("dep_connectivity", lambda s, d: G.connectivity(V.edges(s, d)), q("SELECT * FROM v_degree"))

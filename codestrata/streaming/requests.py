@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.stateful import ordered_scan
 from . import machines as M
@@ -77,11 +77,19 @@ def cache_stats(outcomes: DataFrame) -> DataFrame:
                     F.when(total > 0, F.bround(F.col("hits") / total * 100.0, 2)).otherwise(0.0).alias("hit_rate"))
 
 
-def reuse_by_session(log: DataFrame, idle: str = "30 minutes") -> DataFrame:
-    """Idle rule alone: a session per burst of uses, all but the first are hits."""
-    s = F.session_window("ts", idle)
-    return log.groupBy("fingerprint_key", s).agg(F.count("*").alias("uses")).select(
-        "fingerprint_key", F.unix_millis("session_window.start").alias("start_ms"), "uses", (F.col("uses") - 1).alias("hits"))
+def reuse_by_session(log: DataFrame, idle_ms: int = 30 * 60_000) -> DataFrame:
+    """Idle rule alone: a session per burst of uses, all but the first are hits.
+
+    Uses within one idle-length bucket are always one session, so they are counted first;
+    what is ordered per key is one row per bucket and not one per use.
+    """
+    b = F.floor(F.col("ts_ms") / idle_ms)
+    pre = log.groupBy("fingerprint_key", b.alias("bucket")).agg(F.min("ts_ms").alias("first"), F.max("ts_ms").alias("last"), F.count("*").alias("n"))
+    w = W.partitionBy("fingerprint_key").orderBy("bucket")
+    starts = F.coalesce((F.col("first") - F.lag("last").over(w) >= idle_ms).cast("int"), F.lit(1))
+    d = pre.withColumn("starts", starts).withColumn("session", F.sum("starts").over(w))
+    return d.groupBy("fingerprint_key", "session").agg(F.min("first").alias("start_ms"), F.sum("n").alias("uses")).select(
+        "fingerprint_key", "start_ms", "uses", (F.col("uses") - 1).alias("hits"))
 
 
 def usage_cost(usage: DataFrame) -> DataFrame:
