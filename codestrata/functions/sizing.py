@@ -1,0 +1,15 @@
+"""Broadcast only what has been counted."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..session import cut_lineage
+
+ROW_LIMIT = 20_000
+
+
+def lookup_side(df: DataFrame, limit: int = ROW_LIMIT) -> DataFrame:
+    """A lookup table, written once and counted: broadcast up to ``limit`` rows, else a plain join side."""
+    fixed = cut_lineage(df)
+    return F.broadcast(fixed) if fixed.count() <= limit else fixed
