@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.rulescan import rule_scan
 from ..session import ensure_checkpoint_dir
 from . import machines as M
+from .requests import answer_uses
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -66,6 +67,11 @@ class Deduplicator(_Machine):
     key_name, outputs = "fingerprint_key", ["is_duplicate"]
 
 
+class AnswerReuse(_Machine):
+    step, live, life_ms = M.reuse_step, M.reuse_live, M.ANSWER_LIFE_MS
+    key_name, extra, outputs = "answer_key", ["tokens", "nano"], ["hit", "saved_tokens", "saved_nano"]
+
+
 def _stateful(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, delay: str) -> DataFrame:
     return stream.withWatermark("ts", delay).groupBy(key).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="EventTime")
@@ -81,6 +87,12 @@ def dedup_stream_exact(requests: DataFrame, delay: str = "5 minutes") -> DataFra
     return _stateful(requests, "fingerprint_key", Deduplicator(), "fingerprint_key string, request_id bigint, is_duplicate boolean", delay)
 
 
+def reuse_stream(log: DataFrame, delay: str = "5 minutes") -> DataFrame:
+    """Hits and savings of stored answers as requests arrive."""
+    return _stateful(answer_uses(log, "ts"), "answer_key", AnswerReuse(),
+                     "answer_key string, request_id bigint, hit boolean, saved_tokens bigint, saved_nano bigint", delay)
+
+
 def dedup_stream(requests: DataFrame, ttl: str = "300 seconds") -> DataFrame:
     """Built-in form: drops repeats seen within the watermark delay."""
     return requests.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["fingerprint_key"])

@@ -56,10 +56,14 @@ def _nano(model: Column) -> Column:
     return out
 
 
-def reuse_outcomes(log: DataFrame, chunks: int | None = None) -> DataFrame:
-    base = log.select("request_id", "agent", "ts_ms", F.concat_ws("/", "agent", "fingerprint_key", "model").alias("answer_key"),
+def answer_uses(log: DataFrame, *extra: str) -> DataFrame:
+    """A request log as uses of stored answers: key, tokens and price in billionths of a dollar."""
+    return log.select("request_id", "agent", "ts_ms", *extra, F.concat_ws("/", "agent", "fingerprint_key", "model").alias("answer_key"),
                       (F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), _nano(F.col("model")).alias("nano"))
-    return ordered_scan(base, "answer_key", "ts_ms", "request_id", ["tokens", "nano"], M.reuse_step, M.reuse_live,
+
+
+def reuse_outcomes(log: DataFrame, chunks: int | None = None) -> DataFrame:
+    return ordered_scan(answer_uses(log), "answer_key", "ts_ms", "request_id", ["tokens", "nano"], M.reuse_step, M.reuse_live,
                         {"hit": "boolean", "saved_tokens": "bigint", "saved_nano": "bigint"}, chunks)
 
 

@@ -135,3 +135,12 @@ def test_feed_and_cost_run_on_a_stream(spark, tmp_path):
     assert rows(spark.table("feed")) == rows(Q.message_feed(df))
     u = spark.createDataFrame([(1, "op", "GPT-4", 1000, 1000), (1, "op", "gpt-35-turbo", 1000, 0)], "client long, operation string, model string, input_tokens long, output_tokens long")
     assert rows(Q.usage_cost(u), "input_tokens", "cost") == [(2000, 0.0915)]
+
+
+def test_reuse_stream_equals_batch(spark, tmp_path):
+    data = log(21, 120)
+    df = spark.createDataFrame(data, "request_id long, client long, ts_ms long").withColumn("ts", F.timestamp_millis("ts_ms"))
+    df = df.select("request_id", "ts_ms", "ts", F.lit("a").alias("agent"), F.col("client").cast("string").alias("fingerprint_key"), F.lit("gpt-4").alias("model"),
+                   F.lit(7).cast("long").alias("input_tokens"), F.col("request_id").alias("output_tokens"))
+    want = rows(Q.reuse_outcomes(df, 3), "request_id", "hit", "saved_tokens", "saved_nano")
+    assert any(r[1] for r in want) and rows(live.run_available(live.reuse_stream(stream_of(spark, tmp_path, df))), "request_id", "hit", "saved_tokens", "saved_nano") == want
