@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ..session import cut_lineage
+from ..session import ensure_checkpoint_dir
 
 #: Rows that one cell of a ranking should hold; a cell is what one task sorts at a time.
 CELL_ROWS = 512
@@ -49,15 +50,23 @@ def running(df: DataFrame, keys: list[str], cell: str, order: list[str], value:
     return d.join(starts, group).withColumn(name, F.col("_before") + F.col("_start")).drop("_value", "_before", "_start")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder: no lineage, and sizes as they are."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node it is linked with.
 
     Alternates two steps until nothing changes: every node hangs its larger neighbours, then its smaller
     ones, on the smallest it knows. Rounds grow with the logarithm of the nodes. Minima are aggregates,
-    so a node with very many neighbours is no group in one task.
+    so a node with very many neighbours is no group in one task. Every round is written and read again: a
+    checkpoint would carry on size estimates, whose digits double with each join.
     """
     def star(pairs: DataFrame, large: bool) -> DataFrame:
-        least = cut_lineage(pairs.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
+        least = written(pairs.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
         hung = pairs.join(least, "a").where((F.col("b") > F.col("a")) if large else (F.col("b") != F.col("m")))
         out = hung.select(F.col("b").alias("a"), F.col("m").alias("b"))
         if not large:  # the node itself hangs on its minimum too
@@ -68,12 +77,12 @@ def components(edges: DataFrame) -> DataFrame:
         r = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return r[0], r[1]
 
-    e = cut_lineage(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = state(e)
     while seen[0]:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         e = star(both, True)  # every pair points from the larger to the smaller
-        e = cut_lineage(star(e, False))
+        e = written(star(e, False))
         now = state(e)
         if now == seen:
             break

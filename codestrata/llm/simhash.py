@@ -77,7 +77,8 @@ def _keys(fp: Column) -> Column:
 
 def spanning(fp: np.ndarray) -> tuple[list[int], list[int]]:
     """Pairs within ``DISTANCE`` that link all such pairs link: one fewer than a linked group has members."""
-    close = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= DISTANCE
+    bits = fp.view(np.uint64)  # of signed numbers, numpy would count the bits of the absolute value
+    close = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= DISTANCE
     free, u, v = np.ones(len(fp), bool), [], []
     for start in range(len(fp)):
         if not free[start]:
