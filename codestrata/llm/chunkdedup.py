@@ -13,17 +13,18 @@ from ..session import cut_lineage
 from .common import table, texts
 
 #: Mean bytes between cuts before short chunks merge; chunks of under ``LEAST`` bytes join the next one.
-MEAN, LEAST = 40, 12
-#: Bytes of repeated text in a row that are removed; shorter repeats are ordinary speech.
-SPAN = 128
-#: One random value per byte; the hash at a place depends on the last 32 bytes.
-GEAR = np.random.default_rng(20_240_601).integers(0, 1 << 32, 256, dtype=np.uint32)
+MEAN, LEAST = 28, 8
+#: Bytes of repeated text in a row that are removed; shorter repeats are ordinary speech. A passage of
+#: fifty words has some 250 bytes at least; its ends up to the first and last cut inside it stay.
+SPAN = 96
+#: One random value per byte; the hash at a place depends on the last 16 bytes.
+GEAR = np.random.default_rng(20_240_601).integers(0, 1 << 16, 256, dtype=np.uint16)
 
 
 def cuts(data: bytes) -> np.ndarray:
     """End positions of the chunks of ``data``, the last of which is its end.
 
-    The gear hash h = 2 h + GEAR[byte] (mod 2^32) forgets a byte after 32 steps, so all places are hashed
+    The gear hash h = 2 h + GEAR[byte] (mod 2^16) forgets a byte after 16 steps, so all places are hashed
     at once by doubling the width; a place is a cut if the hash is low. A cut less than ``LEAST`` after
     another hit does not count. So cuts depend on the bytes just before them alone, and chunks come back
     into step right after an insertion.
@@ -32,10 +33,10 @@ def cuts(data: bytes) -> np.ndarray:
         return np.zeros(0, np.int64)
     raw = np.frombuffer(data, np.uint8)
     h, width = GEAR[raw], 1
-    while width < 32:
-        h[width:] += h[:-width] << np.uint32(width)
+    while width < 16:
+        h[width:] += h[:-width] << np.uint16(width)
         width *= 2
-    hit = np.flatnonzero(h[:-1] < (1 << 32) // MEAN) + 1
+    hit = np.flatnonzero(h[:-1] < (1 << 16) // MEAN) + 1
     hit = hit[(raw[hit] & 0xC0) != 0x80]  # never inside a character
     return np.append(hit[np.diff(hit, prepend=-LEAST) >= LEAST], len(data))
 
