@@ -100,8 +100,8 @@ def repeat_words(w):
 def gear_cuts(data, gear, mean, least):
     h, hits = 0, []
     for i, b in enumerate(data):
-        h = (2 * h + int(gear[b])) % (1 << 32)
-        if h < (1 << 32) // mean and i + 1 < len(data) and data[i + 1] & 0xC0 != 0x80:
+        h = (2 * h + int(gear[b])) % (1 << 16)
+        if h < (1 << 16) // mean and i + 1 < len(data) and data[i + 1] & 0xC0 != 0x80:
             hits.append(i + 1)
     cuts = [x for i, x in enumerate(hits) if not i or x - hits[i - 1] >= least]
     return [*cuts, len(data)] if data else []

@@ -317,7 +317,7 @@ def test_substring_dedup_equals_brute_force(docs, empty):
             own.append((at, to, piece))
             at = to
         chunks.setdefault(d, []).append(own)
-    for d, t in PAIRS:
+    for d, t in pairs:
         gone = set()
         for own in chunks.get(d, []):
             mine = set()
@@ -335,6 +335,24 @@ def test_substring_dedup_equals_brute_force(docs, empty):
     assert chunkdedup.dedup_substrings(empty).count() == 0
 
 
+def test_passages_of_fifty_words_are_found():
+    rng, caught, alone = random.Random(9), 0, 0
+    for _ in range(200):
+        passage, a, b = prose(rng, 51), prose(rng, 80), prose(rng, 80)
+        first, second = f"{prose(rng, 80)} {passage} {a}".encode(), f"{b} {passage} {prose(rng, 80)}".encode()
+        def pieces(data):
+            at = 0
+            for to in chunkdedup.cuts(data).tolist():
+                yield at, to, data[at:to]
+                at = to
+        known = {p for _, _, p in pieces(first)}
+        found = chunkdedup.spans([(x, y) for x, y, p in pieces(second) if p in known])
+        lo, hi = len(b.encode()) + 1, len(b.encode()) + 1 + len(passage.encode())
+        caught += sum(min(y, hi) - max(x, lo) for x, y in found if x < hi and y > lo) > 0.4 * (hi - lo)
+        alone += any(y <= lo or x >= hi for x, y in found)
+    assert caught >= 196 and alone == 0
+
+
 def test_shared_passages_go(docs):
     out = {r.doc_id: r for r in chunkdedup.dedup_substrings(docs).where("doc_id between 80 and 84").collect()}
     text = dict(PAIRS)
