@@ -36,8 +36,13 @@ def has(text: Column, pattern: str, flags: str = "i") -> Column:
     return text.rlike(jre(pattern, flags))
 
 
+def low_text(text: Column) -> Column:
+    """Lower case for the pre-tests; signs that patterns fold onto ASCII letters are folded here, too."""
+    return F.lower(F.translate(text, "\u017f\u212a\u0130\u0131", "skii"))
+
+
 def finds(text: Column, low: Column, pattern: str, flags: str = "i") -> Column:
-    """``has`` behind a substring pre-test on the lower-case text ``low``."""
+    """``has`` behind a substring pre-test on ``low``, the ``low_text`` of the text."""
     words = required_words(pattern)
     cond = has(text, pattern, flags)
     return any_of([low.contains(w) for w in words]) & cond if words else cond
@@ -112,8 +117,8 @@ def detect_language(file_name: Column) -> Column:
     return F.coalesce(F.try_element_at(lookup, ext), F.lit("unknown"))
 
 
-def normalise_text(text: Column, max_len: int = 2000) -> Column:
-    """Drop NUL, unify line ends, collapse white space, trim, cut to ``max_len``."""
+def normalise_text(text: Column, max_len: int | None = 2000) -> Column:
+    """Drop NUL, unify line ends, collapse white space, trim, cut to ``max_len`` (None: whole)."""
     t = F.replace(text, F.lit("\x00"), F.lit(""))
     t = F.regexp_replace(t, r"(?U)\s+", " ")
-    return F.substring(F.trim(t), 1, max_len)
+    return F.trim(t) if max_len is None else F.substring(F.trim(t), 1, max_len)

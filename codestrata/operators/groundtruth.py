@@ -13,7 +13,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.sizing import lookup_side
 from ..functions.substr import containing_pairs
 from ..functions.text import jre, pct
 from ..session import cut_lineage
@@ -131,9 +130,8 @@ def _lookups(f: DataFrame, i: DataFrame, cfg: MatchConfig) -> tuple[DataFrame, D
         containing_pairs(b, "iloc", a, "floc").select("floc", "iloc")).distinct()
     by_place = (near_text.join(places, "iloc").join(pairs, "icat").join(texts, ["floc", "fcat"])
                 .where("NOT has_line OR NOT i_has_line").groupBy("fcat", "isev", "floc", "has_line").agg(*_profile()))
-    # rows of a lookup hold at most one entry per severity, so a row limit bounds their bytes
-    return (lookup_side(_as_array(by_cat, ["fcat"], "cat")), lookup_side(_as_array(by_line, ["fcat", "fline"], "at_line")),
-            lookup_side(_as_array(by_place, ["fcat", "floc", "has_line"], "at_place")))
+    return (_as_array(by_cat, ["fcat"], "cat"), _as_array(by_line, ["fcat", "fline"], "at_line"),
+            _as_array(by_place, ["fcat", "floc", "has_line"], "at_place"))
 
 
 def _scored(findings: DataFrame, issues: DataFrame, cfg: MatchConfig) -> DataFrame:

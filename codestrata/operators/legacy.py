@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..data import rules as R
-from ..functions.text import finds_sql, jre, sql_text, unify_newlines
+from ..functions.text import finds_sql, jre, low_text, sql_text, unify_newlines
 from .symbols import _MODS, body_of, with_marks
 
 
@@ -29,7 +29,7 @@ def match_lines(files: DataFrame, patterns: list[tuple[str, str]], flags: str =
     """Every match of every pattern, with line number and text; matches may span lines."""
     text = unify_newlines(F.col("content"))
     hits = F.expr(f"flatten(array_compact(array({', '.join(_located_sql(p, pid, flags) for pid, p in patterns)})))")
-    d = files.select("file_name", "language", text.alias("_t"), F.lower(text).alias("_low"))
+    d = files.select("file_name", "language", text.alias("_t"), low_text(text).alias("_low"))
     return d.select("file_name", "language", F.inline(hits))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..data import rules as R
-from ..functions.text import any_of, clamp, finds, finds_sql, jre, n_of, pin, split_lines, sql_text
+from ..functions.text import any_of, clamp, finds, finds_sql, jre, low_text, n_of, pin, split_lines, sql_text
 from .rulescan import _hits
 from .symbols import IMPORTS, _per_language, body_of, container_of, extract_symbols, owner_of, signature_text, with_marks
 
@@ -60,7 +60,7 @@ def function_length(files: DataFrame) -> DataFrame:
 
 def legacy_age(files: DataFrame, as_of: str) -> DataFrame:
     years = F.datediff(F.lit(as_of).cast("date"), F.col("last_modified")) / F.lit(365.0)
-    return files.withColumn("_low", F.lower("content")).select(
+    return files.withColumn("_low", low_text(F.col("content"))).select(
         "file_name", years.cast("int").alias("age_years"), (years > 5).alias("is_very_old"),
         any_of([finds(F.col("content"), F.col("_low"), p) for p in R.ANCIENT_FRAMEWORK]).alias("is_ancient"))
 
@@ -79,7 +79,7 @@ def file_profile(files: DataFrame, extra: list[str] | None = None) -> DataFrame:
     def step(m: Column, i: Column) -> Column:
         return F.when(m["kind"] == "method", n_of(body_of(m, i), R.DECISIONS_CSHARP, "") + 1).otherwise(F.lit(0))
 
-    d = with_marks(files, ["content", "size", *(extra or [])]).withColumn("_low", F.lower("content"))
+    d = with_marks(files, ["content", "size", *(extra or [])]).withColumn("_low", low_text(F.col("content")))
     d = d.withColumn("classes", F.coalesce(F.filter("marks", lambda m: m["kind"] == "class"), F.expr("slice(marks, 1, 0)")))
 
     def sigs(kind: str) -> Column:

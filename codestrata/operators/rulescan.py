@@ -7,9 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..data.rules import ALL_RULES, Rule
-from ..functions.text import finds_sql, jre, pin, sql_text
-
-RULE_LIMIT = 5000  # rule rows folded into one plan; larger tables go through the join form
+from ..functions.text import finds_sql, jre, low_text, pin, sql_text
 
 
 def rule_sql(rule: Rule) -> str:
@@ -40,14 +38,14 @@ def _hits(rules: Iterable[Rule]) -> Column:
 
 def rule_scan(files: DataFrame, rules: list[Rule] | None = None, extra: list[str] | None = None) -> DataFrame:
     """One row per (file, rule) that fires."""
-    d = files.withColumn("_low", F.lower("content"))
+    d = files.withColumn("_low", low_text(F.col("content")))
     return d.select("file_name", "language", *(extra or []), F.inline(_hits(rules if rules is not None else ALL_RULES)))
 
 
 def hit_counts(content_df: DataFrame, rules: list[Rule] | None = None, extra: list[str] | None = None) -> DataFrame:
     """Hits per family as columns of the file row: no explode, no shuffle."""
     hits = _hits(rules if rules is not None else ALL_RULES)
-    df = pin(content_df.withColumn("_low", F.lower("content")), hits.alias("hits"))
+    df = pin(content_df.withColumn("_low", low_text(F.col("content"))), hits.alias("hits"))
 
     def n(fam: str) -> Column:
         return F.coalesce(F.size(F.filter("hits", lambda h: h["family"] == fam)), F.lit(0)).alias(f"{fam}_hits")
@@ -77,14 +75,11 @@ def register_rules(rules: DataFrame, new: DataFrame) -> DataFrame:
 def rule_scan_table(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Same scan for a rule table known only at run time: equi join on language, pattern as residual.
 
-    The rule side is broadcast only when counting it shows it is small; otherwise the
-    planner keeps a shuffled join.
+    The planner broadcasts the rules if their size is known to be small.
     """
-    small = rules.limit(RULE_LIMIT + 1).count() <= RULE_LIMIT
-    side = F.broadcast(rules) if small else rules
     fires = (
         (F.regexp_count("content", F.col("must")) > F.col("min_count"))
         & (F.col("also").isNull() | F.expr("content RLIKE also"))
         & (F.col("must_not").isNull() | ~F.expr("content RLIKE must_not"))
     )
-    return files.join(side, "language").where(fires).select("file_name", "language", "rule_id", "family", "severity")
+    return files.join(rules, "language").where(fires).select("file_name", "language", "rule_id", "family", "severity")

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hints import required_words
-from ..functions.text import (
-    LANGUAGES, any_of, base_name, chosen, finds, jre, pin,
-)
+from ..functions.text import LANGUAGES, any_of, base_name, chosen, finds, jre, low_text, pin
 
 # --- fixed values ----------------------------------------------------------
 GENERATED_MARKS = [".Designer.", ".g.cs", ".g.i.cs", "AssemblyInfo.cs", "\\bin\\", "\\obj\\", "/bin/", "/obj/"]
@@ -67,7 +65,7 @@ def screen_files(files: DataFrame, name: Column | None = None, size: Column | No
 def scan_suspicious(files: DataFrame, patterns: list[str] | None = None) -> DataFrame:
     """Files that hold suspicious patterns, over the whole text."""
     found = chosen([(p, finds(F.col("content"), F.col("_low"), p)) for p in (patterns or SUSPICIOUS)])
-    d = pin(files.select("file_name", "content", F.lower("content").alias("_low")), found.alias("patterns"))
+    d = pin(files.select("file_name", "content", low_text(F.col("content")).alias("_low")), found.alias("patterns"))
     return d.select("file_name", "patterns").where(F.size("patterns") > 0)
 
 
@@ -77,18 +75,21 @@ def screen_prompts(df: DataFrame, text: str = "text") -> DataFrame:
         F.when(t.isNull() | t.rlike(r"(?U)^\s*$"), "empty")
         .when(F.length(t) > MAX_PROMPT, "too long")
         .when(any_of([t.contains(x) for x in FORBIDDEN_TEXT]), "forbidden character")
-        .when(any_of([finds(t, F.lower(t), p) for p in PROMPT_INJECTION]), "injection")
+        .when(any_of([finds(t, low_text(t), p) for p in PROMPT_INJECTION]), "injection")
     )
     return df.withColumn("reason", reason).withColumn("is_valid", F.col("reason").isNull())
 
 
-def redact_text(text: Column, max_len: int = MAX_MESSAGE) -> Column:
-    low, out = F.lower(text), text
+def redact_text(text: Column, max_len: int | None = MAX_MESSAGE) -> Column:
+    """Secrets replaced, then cut to ``max_len`` (None: whole)."""
+    low, out = low_text(text), text
     for p in REDACTIONS:
         # a replacement adds no word any later pattern needs, so the first lower-case copy serves them all
         words = required_words(p)
         cut = F.regexp_replace(out, jre(p), "$1: " + REDACTED.replace("[", r"\[").replace("]", r"\]"))
         out = F.when(any_of([low.contains(w) for w in words]), cut).otherwise(out) if words else cut
+    if max_len is None:
+        return out
     return F.when(F.length(out) > max_len, F.concat(F.substring(out, 1, max_len), F.lit("... [TRUNCATED]"))).otherwise(out)
 
 

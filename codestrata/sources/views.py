@@ -19,21 +19,17 @@ def _pick(values: list[str], index: Column) -> Column:
     return F.element_at(text_array(values), (index + 1).cast("int"))
 
 
-SMALL_BYTES_PER_SLOT = 32 * 1024 * 1024
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a small text table to every task slot before costly per-row work.
+    """Deal out a table whose files make fewer scan tasks than there are slots (one small file is one task).
 
-    A table large enough to fill the slots by itself is left alone: its text is never shuffled.
+    Any other table is left alone: its text is never shuffled.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(slots) if size < slots * SMALL_BYTES_PER_SLOT else df
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +183,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw answers in four shapes: plain JSON, fenced JSON, JSON inside text, prose."""
     c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    first = F.regexp_replace(F.substring("text", 1, 60), r'["\\\n\r\t]', " ")
+    first = F.expr("substring(to_json(named_struct('t', text)), 7, length(to_json(named_struct('t', text))) - 8)")  # the whole text, escaped
     file = F.concat(F.lit("Unit"), (F.col("conv_id") % 50).cast("string"), F.lit(".cs"))
     body = F.concat(
         F.lit('{"confidenceScore": '), (F.col("conv_id") % 90 + 10).cast("string"),

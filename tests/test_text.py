@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from codestrata.data import rules as R
 from codestrata.functions.hints import required_words
 from codestrata.functions.substr import containing_pairs
-from codestrata.functions.text import detect_language, normalise_text
+from codestrata.functions.text import detect_language, finds, has, low_text, normalise_text
 from codestrata.operators import screening as S
 from conftest import rows
 
@@ -22,6 +22,17 @@ def test_required_words_never_hide_a_match(text, pattern):
         assert any(w in text.lower() for w in words)
 
 
+def test_pre_tests_know_letters_that_fold_to_ascii(spark):
+    texts = ['pa\u017f\u017fword = "abc"', "x.\u0130nnerHTML = y", "x.\u0131nnerHTML = y", "to\u212aen: abcdefghijklmnopqrstuvwx"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for p in [*PATTERNS, *S.REDACTIONS]:
+        got = df.select(has(F.col("t"), p).alias("a"), finds(F.col("t"), low_text(F.col("t")), p).alias("b")).collect()
+        assert all(r.a == r.b for r in got), p
+    assert df.select(S.redact_text(F.col("t"))).first()[0] == "pa\u017f\u017fword: [REDACTED]"
+    long = spark.createDataFrame([("z" * 6000,)], "t string").select(S.redact_text(F.col("t"), None), normalise_text(F.col("t"), None)).first()
+    assert len(long[0]) == len(long[1]) == 6000
+
+
 def test_language_and_normalise(spark):
     df = spark.createDataFrame([("a/B.CS",), ("x.py",), ("noext",), ("a.b/c",)], "n string")
     assert [r[0] for r in df.select(detect_language(F.col("n"))).collect()] == ["csharp", "python", "unknown", "unknown"]
