@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.substr import containing_pairs
 from ..functions.text import file_stem, jre
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from .symbols import body_of, container_of, extract_imports, owner_of, with_marks
 
 GOD_DEGREE = 20
@@ -185,7 +185,7 @@ def _trim(edges: DataFrame) -> DataFrame:
     n = edges.count()
     while n:
         kept = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        kept = cut_lineage(kept.join(kept.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
+        kept = written(kept.join(kept.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
         m = kept.count()
         if m == n:
             return kept
@@ -200,25 +200,25 @@ def cycle_members(edges: DataFrame) -> DataFrame:
     round, labels pre-aggregated per node, so a hub node is a partial aggregate and not a group.
     """
     spark = edges.sparkSession
-    left = _trim(cut_lineage(edges.select("src", "dst").where("src <> dst").distinct()))
+    left = _trim(written(edges.select("src", "dst").where("src <> dst").distinct()))
     found = spark.createDataFrame([], "node string, component string")
     while left.count():
-        labels = cut_lineage(left.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("label", F.col("node")))
+        labels = written(left.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("label", F.col("node")))
         while True:
             sent = left.join(labels, left["src"] == labels["node"]).select(F.col("dst").alias("node"), "label")
-            new = cut_lineage(labels.unionByName(sent).groupBy("node").agg(F.min("label").alias("label")))
-            changed = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
-            labels = new
-            if not changed:
+            both = labels.select("node", "label", F.col("label").alias("old")).unionByName(sent, allowMissingColumns=True)
+            new = written(both.groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old")))
+            labels = new.select("node", "label")
+            if new.where("label <> old").isEmpty():
                 break
         a = labels.select(F.col("node").alias("src"), F.col("label").alias("ls"))
         b = labels.select(F.col("node").alias("dst"), F.col("label").alias("ld"))
-        inside = cut_lineage(left.join(a, "src").join(b, "dst").where("ls = ld").select("src", "dst", F.col("ls").alias("label")))
-        member = cut_lineage(labels.where("node = label"))
+        inside = written(left.join(a, "src").join(b, "dst").where("ls = ld").select("src", "dst", F.col("ls").alias("label")))
+        member = written(labels.where("node = label"))
         size = member.count()
         while True:
             back = inside.join(member.select(F.col("node").alias("dst"), "label"), ["dst", "label"]).select(F.col("src").alias("node"), "label")
-            member = cut_lineage(member.unionByName(back).distinct())
+            member = written(member.unionByName(back).distinct())
             grown = member.count()
             if grown == size:
                 break
@@ -226,30 +226,55 @@ def cycle_members(edges: DataFrame) -> DataFrame:
         real = member.join(member.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label"), "label", "left_semi")
         found = found.unionByName(real.select("node", F.col("label").alias("component")))
         gone = member.select("node")
-        left = _trim(cut_lineage(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(
+        left = _trim(written(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(
             gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")))
     return found
 
 
-def cycles(edges: DataFrame, max_len: int = 8) -> DataFrame:
+def cycles(edges: DataFrame) -> DataFrame:
+    """One row per strongly connected component: its size and one shortest cycle through its smallest node.
+
+    A walk in levels from the smallest node of every component at once. A node is reached once, by its
+    smallest parent, and only the current level carries its way, so the work is linear in the edges and a
+    cycle may have any length. Of several shortest cycles the one with the smallest nodes, read from its
+    end, is given.
+    """
+    member = written(cycle_members(edges))
+    a, b = member.toDF("src", "component"), member.toDF("dst", "other")
+    e = written(edges.select("src", "dst").where("src <> dst").distinct().join(a, "src").join(b, "dst").where("component = other").select("component", "src", "dst"))
+    front = member.where("node = component").select("component", "node", F.array("node").alias("path"))
+    seen, out = front.select("component", "node"), front.limit(0)
+    while not front.isEmpty():
+        step = front.withColumnRenamed("node", "src").join(e, ["component", "src"])
+        step = step.groupBy("component", "dst").agg(F.min(F.struct("src", "path")).alias("from"))
+        step = step.select("component", F.col("dst").alias("node"), F.concat("from.path", F.array("dst")).alias("path"))
+        closed = step.where("node = component")
+        out = out.unionByName(closed)
+        front = written(step.join(closed.select("component"), "component", "left_anti").join(seen, ["component", "node"], "left_anti"))
+        seen = seen.unionByName(front.select("component", "node"))
+    size = member.groupBy("component").agg(F.count("*").alias("n_members"))
+    n = F.size("path") - 1
+    return out.join(size, "component").select("component", "n_members", F.array_join("path", " -> ").alias("cycle"), n.alias("n_nodes"),
+                                              F.least(n + 1, F.lit(5)).alias("severity"))
+
+
+def short_cycles(edges: DataFrame, max_len: int) -> DataFrame:
     """All elementary cycles of up to ``max_len`` nodes, each written from its smallest node.
 
-    Paths start at the smallest member and may only visit larger nodes, so each cycle is
-    found once. Longer cycles are not lost: ``cycle_members`` reports every node on one.
+    A listing that the caller bounds: the number of cycles grows with the power of the length. Paths start
+    at the smallest member and only visit larger nodes, so each cycle is found once.
     """
-    e = _trim(cut_lineage(edges.select("src", "dst").where("src <> dst").distinct()))
+    e = _trim(written(edges.select("src", "dst").where("src <> dst").distinct()))
     paths = e.where("src < dst").select(F.col("src").alias("start"), F.array("src", "dst").alias("path"), F.col("dst").alias("last"))
     out = None
     for _ in range(2, max_len + 1):
-        paths = cut_lineage(paths)
+        paths = written(paths)
         step = paths.join(e, paths["last"] == e["src"]).select("start", "path", "dst")
         closed = step.where("dst = start").select("path")
         out = closed if out is None else out.unionByName(closed)
         paths = step.where((F.col("dst") > F.col("start")) & ~F.expr("array_contains(path, dst)")).select(
             "start", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("last"))
-    n = F.size("path")
-    return out.select(F.array_join(F.concat("path", F.slice("path", 1, 1)), " -> ").alias("cycle"), n.alias("n_nodes"),
-                      F.least(n + 1, F.lit(5)).alias("severity"))
+    return out.select(F.array_join(F.concat("path", F.slice("path", 1, 1)), " -> ").alias("cycle"), F.size("path").alias("n_nodes"))
 
 
 # --- reviews and contradictions ---------------------------------------------------

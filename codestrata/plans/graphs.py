@@ -117,11 +117,15 @@ SELECT src AS start, [src, dst] AS path, dst AS last FROM v_edges WHERE src < ds
 UNION ALL SELECT p.start, list_append(p.path, e.dst), e.dst FROM v_paths p JOIN v_edges e ON p.last = e.src
 WHERE e.dst > p.start AND NOT list_contains(p.path, e.dst) AND len(p.path) < 8"""
 VIEWS["v_cycles"] = "SELECT p.path FROM v_paths p JOIN v_edges e ON p.last = e.src AND e.dst = p.start"
-register("dep_cycles", lambda s, d: G.cycles(V.edges(s, d)),
-         q("SELECT array_to_string(list_append(path, path[1]), ' -> ') AS cycle, len(path) AS n_nodes, least(len(path) + 1, 5) AS severity FROM v_cycles", recursive=True))
-VIEWS["v_cycle_nodes"] = "SELECT unnest(path) AS node, path FROM v_cycles"
 VIEWS["v_reach"] = """
 SELECT src AS a, dst AS b FROM v_edges UNION SELECT r.a, e.dst FROM v_reach r JOIN v_edges e ON r.b = e.src"""
+VIEWS["v_component"] = "SELECT x.a AS node, min(x.b) AS component FROM v_reach x JOIN v_reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a"
+register("dep_cycles", lambda s, d: G.cycles(V.edges(s, d)), q("""
+SELECT path[1] AS component, n_members, array_to_string(list_append(path, path[1]), ' -> ') AS cycle, len(path) AS n_nodes, least(len(path) + 1, 5) AS severity
+FROM v_cycles JOIN (SELECT component, count(*) AS n_members FROM v_component GROUP BY component) ON component = path[1]
+QUALIFY row_number() OVER (PARTITION BY path[1] ORDER BY len(path), list_reverse(path)) = 1""", recursive=True))
+register("dep_short_cycles", lambda s, d: G.short_cycles(V.edges(s, d), 8),
+         q("SELECT array_to_string(list_append(path, path[1]), ' -> ') AS cycle, len(path) AS n_nodes FROM v_cycles", recursive=True))
 register("dep_cycle_members", lambda s, d: G.cycle_members(V.edges(s, d)),
          q("SELECT x.a AS node, min(x.b) AS component FROM v_reach x JOIN v_reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a", recursive=True))
 

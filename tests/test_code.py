@@ -103,9 +103,16 @@ def test_graph_edges(spark):
 def test_cycles_and_members(spark):
     pairs = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "c"), ("x", "x"), ("e", "f"), ("z", "a")]
     e = spark.createDataFrame(pairs, "src string, dst string")
-    assert rows(G.cycles(e)) == [("a -> b -> a", 2, 3), ("c -> d -> e -> c", 3, 4)]
+    assert rows(G.cycles(e)) == [("a", 2, "a -> b -> a", 2, 3), ("c", 3, "c -> d -> e -> c", 3, 4)]
     assert rows(G.cycle_members(e)) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("e", "c")]
-    assert rows(G.cycles(e, max_len=2), "cycle") == [("a -> b -> a",)]
+    assert rows(G.short_cycles(e, max_len=2), "cycle") == [("a -> b -> a",)]
+
+
+def test_a_long_ring_is_one_cycle(spark):
+    ring = [f"n{i:02d}" for i in range(20)]
+    e = spark.createDataFrame([*zip(ring, ring[1:] + ring[:1]), ("n00", "out"), ("in", "n03")], "src string, dst string")
+    assert rows(G.cycles(e)) == [("n00", 20, " -> ".join([*ring, "n00"]), 20, 5)]
+    assert rows(G.cycles(e.limit(0))) == []
 
 
 def test_modules_and_batches(spark):
