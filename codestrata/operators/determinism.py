@@ -7,9 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.ordered import running
 from ..functions.text import jre
 
-HASH_CHUNK = 100_000
-
-
 def finding_key(category: Column, location: Column) -> Column:
     loc = F.regexp_replace(F.lower(F.coalesce(location, F.lit(""))), jre(r":\d+", ""), ":*")
     loc = F.regexp_replace(loc, jre(r"line\s+\d+", ""), "line *")
@@ -24,22 +21,17 @@ def _digest(text: Column) -> Column:
     return F.substring(F.base64(F.unhex(F.sha2(text, 256))), 1, 16)
 
 
-def run_hash(findings: DataFrame, chunk: int = HASH_CHUNK) -> DataFrame:
-    """Order-sensitive hash of each run.
+def run_hash(findings: DataFrame) -> DataFrame:
+    """Order-sensitive hash of each run, the same for any size.
 
-    A run of up to ``chunk`` findings hashes its joined text. A longer one hashes the hashes
-    of its chunks, so no task ever holds a whole long run; equal runs still hash equal.
+    Every finding is hashed with its place in the run; the hashes add up, and count and sum are hashed.
+    Sums are partial, so no task or row ever holds a whole run.
     """
     text = F.concat_ws(":", "category", "severity", "location")
     d = running(findings.select("run_number", "finding_id", text.alias("t")), ["run_number"], ["finding_id"], {"pos": F.lit(1)})
-    d = d.withColumn("part", F.floor((F.col("pos") - 1) / chunk))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), "|")
-    parts = d.groupBy("run_number", "part").agg(joined.alias("t"), F.count("*").alias("n"))
-    parts = parts.select("run_number", "part", "n", _digest(F.col("t")).alias("h"))
-    both = F.array_sort(F.collect_list(F.struct("part", "h")))
-    return parts.groupBy("run_number").agg(F.sum("n").alias("findings"), both.alias("p")).select(
-        "run_number", "findings", F.when(F.size("p") == 1, F.element_at("p", 1)["h"]).otherwise(
-            _digest(F.array_join(F.transform("p", lambda x: x["h"]), "|"))).alias("run_hash"))
+    part = F.conv(F.substring(F.md5(F.concat_ws("|", "pos", "t")), 1, 15), 16, 10).cast("decimal(38,0)")
+    sums = d.groupBy("run_number").agg(F.count("*").alias("findings"), F.sum(part).alias("s"))
+    return sums.select("run_number", "findings", _digest(F.concat_ws(":", "findings", "s")).alias("run_hash"))
 
 
 def run_consistency(findings: DataFrame, run_count: int, threshold: float = 80.0, by: list[str] | None = None) -> DataFrame:

@@ -103,7 +103,7 @@ def error_triage(log: DataFrame) -> DataFrame:
             cond = cond & any_of([F.lower("message").contains(w) for w in words])
         row = F.struct(F.lit(retry).alias("retryable"), F.lit(delay).alias("delay_seconds"), F.lit(group).alias("remedy"))
         pick = F.when(cond, row) if pick is None else pick.when(cond, row)
-    code = F.concat(F.lit("ERR-"), F.upper(F.substring("error_type", 1, 3)), F.lit("-"), F.lpad(F.hex(F.crc32("error_type")), 8, "0"))
+    code = F.concat(F.lit("ERR-"), F.upper(F.substring("error_type", 1, 3)), F.lit("-"), F.upper(F.substring(F.md5("error_type"), 1, 8)))
     return log.withColumn("t", pick).select("log_id", "error_type", code.alias("error_code"), "t.*")
 
 

@@ -83,8 +83,9 @@ VIEWS["v_keyed"] = """
 SELECT *, lower(category) || '|' || regexp_replace(regexp_replace(lower(location), ':\\d+', ':*', 'g'), 'line\\s+\\d+', 'line *', 'g') AS finding_key FROM v_run_findings"""
 register("finding_key", lambda s, d: D.with_key(V.run_findings(s, d)).select("finding_id", "finding_key"), q("SELECT finding_id, finding_key FROM v_keyed"))
 register("run_hash", lambda s, d: D.run_hash(V.run_findings(s, d)), q("""
-SELECT run_number, count(*) AS findings, substr(to_base64(unhex(sha256(string_agg(category || ':' || severity || ':' || location, '|' ORDER BY finding_id)))), 1, 16) AS run_hash
-FROM v_run_findings GROUP BY run_number"""))
+SELECT run_number, count(*) AS findings, substr(to_base64(unhex(sha256(count(*) || ':' || sum(CAST(CAST('0x' || substr(md5(pos || '|' || t), 1, 15) AS BIGINT) AS HUGEINT))))), 1, 16) AS run_hash
+FROM (SELECT run_number, category || ':' || severity || ':' || location AS t, row_number() OVER (PARTITION BY run_number ORDER BY finding_id) AS pos FROM v_run_findings)
+GROUP BY run_number"""))
 
 
 def cons_sql(by: str = "") -> str:

@@ -115,10 +115,12 @@ def test_run_consistency(spark):
 def test_run_similarity_and_hash(spark):
     got = {(r.run_a, r.run_b): r.similarity for r in D.run_similarity(runs(spark)).collect()}
     assert got == {(1, 2): 100.0, (1, 3): 0.0, (2, 3): 0.0}
-    text = "A:HIGH:x.cs:1|A:HIGH:x.cs:9|B:LOW:line 3"
-    want = base64.b64encode(hashlib.sha256(text.encode()).digest()).decode()[:16]
+    texts = ["A:HIGH:x.cs:1", "A:HIGH:x.cs:9", "B:LOW:line 3"]
+    total = sum(int(hashlib.md5(f"{i}|{t}".encode()).hexdigest()[:15], 16) for i, t in enumerate(texts, 1))
+    want = base64.b64encode(hashlib.sha256(f"3:{total}".encode()).digest()).decode()[:16]
     assert {r.run_number: r.run_hash for r in D.run_hash(runs(spark)).collect()}[1] == want
-    # the chunked form keeps equal runs equal and is sensitive to order
-    twice = runs(spark).where("run_number = 1").unionByName(runs(spark).where("run_number = 1").withColumn("run_number", F.lit(9)))
-    h = {r.run_number: r.run_hash for r in D.run_hash(twice, chunk=2).collect()}
-    assert h[1] == h[9] != want
+    # equal runs hash alike, and the order counts
+    one = runs(spark).where("run_number = 1")
+    again = one.unionByName(one.withColumn("run_number", F.lit(9))).unionByName(one.withColumn("run_number", F.lit(8)).withColumn("finding_id", -F.col("finding_id")))
+    h = {r.run_number: r.run_hash for r in D.run_hash(again).collect()}
+    assert h[1] == h[9] == want != h[8]
