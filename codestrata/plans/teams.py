@@ -126,7 +126,10 @@ register("history_lookup", lambda s, d: H.session_by_id(V.sessions(s, d), V.sess
 
 
 def _purge(s, d):
-    kept, files = H.purge(V.sessions(s, d), V.session_files(s, d), cutoff="1997-01-01", session_id=7)
+    path, sessions = _fresh(s, "purge"), V.sessions(s, d)
+    H.append_session(sessions, f"{path}/0/sessions", "month")
+    H.append_session(V.session_files(s, d).join(sessions.select(F.col("id").alias("session_id"), "created_at"), "session_id"), f"{path}/0/files", "month")
+    kept, files = (H.read_sessions(s, p) for p in H.purge_store(s, f"{path}/0/sessions", f"{path}/0/files", f"{path}/1", cutoff="1997-01-01", session_id=7))
     return kept.select(F.lit("session").alias("kind"), "id", F.lit("").alias("file_name")).unionByName(
         files.select(F.lit("file").alias("kind"), F.col("session_id").alias("id"), "file_name"))
 
@@ -142,12 +145,11 @@ def _fresh(s, name: str) -> str:
 
 def _sink_history(s, d):
     path = _fresh(s, "history")
-    # a day per year keeps the test table to a few folders
-    H.append_session(V.sessions(s, d).withColumn("created_at", F.date_trunc("year", "created_at")), path)
-    return H.read_sessions(s, path).groupBy(F.year("created_date").alias("year")).agg(F.count("*").alias("sessions"), F.sum("overall_score").alias("score"))
+    H.append_session(V.sessions(s, d), path)
+    return H.read_sessions(s, path).groupBy(F.col("created_date").cast("string").alias("day")).agg(F.count("*").alias("sessions"), F.sum("overall_score").alias("score"))
 
 
-register("sink_history", _sink_history, q("SELECT year(created_at) AS year, count(*) AS sessions, CAST(sum(overall_score) AS BIGINT) AS score FROM v_sessions GROUP BY ALL"))
+register("sink_history", _sink_history, q("SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, count(*) AS sessions, CAST(sum(overall_score) AS BIGINT) AS score FROM v_sessions GROUP BY ALL"))
 
 
 def _scan_corpus(s, d):

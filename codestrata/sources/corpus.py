@@ -6,23 +6,28 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import LANGUAGES, any_of, base_name, detect_language, unify_newlines
 
-MAX_MB = 5
+SCHEMA = ["path", "modificationTime", "length", "content"]
 
 
-def read_corpus(spark: SparkSession, path: str, extensions=tuple(LANGUAGES), max_mb: int = MAX_MB, keep_empty: bool = True) -> DataFrame:
-    """Read a tree of source files. A file over the size cap keeps its row with status Error.
+def read_corpus(spark: SparkSession, path: str, extensions=tuple(LANGUAGES), max_mb: float | None = None, keep_empty: bool = False) -> DataFrame:
+    """Read a tree of source files, whole. With ``max_mb``, a larger file keeps its row with status Error.
 
-    Content of files over the cap is dropped in the scan stage; no text is shuffled.
+    Content of files over the cap is never read: the cap is a filter on the length, which the scan knows
+    first. Scans leave out files of no length; ``keep_empty`` adds their rows from the list of all paths
+    that the driver's file index holds.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     raw = raw.where(any_of([F.lower("path").endswith("." + e) for e in extensions]))
-    raw = raw.select("path", "modificationTime", "length", "content")
+    over = F.lit(False)
+    if max_mb is not None:
+        cap = int(max_mb * 1024 * 1024)
+        over = F.col("length") > cap
+        large = raw.where(over).select(*SCHEMA[:3], F.lit(None).cast("binary").alias("content"))
+        raw = raw.where(F.col("length") <= cap).select(*SCHEMA).unionByName(large)
     if keep_empty:
-        raw = raw.unionByName(_empty_files(raw, extensions))
-    over = F.col("length") > max_mb * 1024 * 1024
-    text = F.when(~over, unify_newlines(F.decode("content", "UTF-8")))
+        raw = raw.select(*SCHEMA).unionByName(_empty_files(raw, extensions))
     return raw.select(
-        base_name(F.col("path")).alias("file_name"), F.col("path"), text.alias("content"), F.col("length").alias("size"),
+        base_name(F.col("path")).alias("file_name"), F.col("path"), unify_newlines(F.decode("content", "UTF-8")).alias("content"), F.col("length").alias("size"),
         F.col("modificationTime").alias("last_modified"), detect_language(F.col("path")).alias("language"),
         F.when(over, "Error").otherwise("Completed").alias("status"),
         F.when(over, F.lit(f"file exceeds {max_mb} MB")).alias("error"))

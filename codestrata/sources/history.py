@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def append_session(sessions: DataFrame, path: str) -> None:
-    """Append sessions (or their file rows that carry ``created_at``), one folder per day."""
-    day = sessions.withColumn("created_date", F.to_date("created_at"))
-    # rows of a day meet in a few tasks, so a day gets a few files; AQE splits a large day
-    day.repartition("created_date").write.mode("append").partitionBy("created_date").parquet(path)
+def append_session(sessions: DataFrame, path: str, grain: str = "day") -> None:
+    """Append sessions (or their file rows that carry ``created_at``), one folder per day, or per ``grain``."""
+    day = sessions.withColumn("created_date", F.to_date(F.date_trunc(grain, "created_at")))
+    # rows of a day meet, so a day gets a few files; a rebalance may split a large day over tasks
+    day.hint("rebalance", "created_date").write.mode("append").partitionBy("created_date").parquet(path)
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
@@ -38,6 +38,14 @@ def purge(sessions: DataFrame, files: DataFrame, cutoff: str | None = None, sess
     return sessions.where(~gone), files.join(removed, "session_id", "left_anti")
 
 
-def overwrite_days(kept: DataFrame, path: str) -> None:
-    """Replace only the day folders present in ``kept``."""
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("created_date").parquet(path)
+def purge_store(spark: SparkSession, sessions_path: str, files_path: str, out: str, cutoff: str | None = None, session_id: int | None = None) -> tuple[str, str]:
+    """Write what stays after a purge as a new version under ``out`` and return both paths.
+
+    Days without a kept row have no folder in the new version, children alike. The old version is not
+    touched while it is read; whoever switches over drops it.
+    """
+    kept, children = purge(read_sessions(spark, sessions_path), read_sessions(spark, files_path), cutoff, session_id)
+    paths = f"{out}/sessions", f"{out}/files"
+    for rows, path in zip((kept, children), paths):
+        rows.hint("rebalance", "created_date").write.partitionBy("created_date").parquet(path)
+    return paths

@@ -85,8 +85,10 @@ def test_corpus_source(spark, tmp_path):
     (tmp_path / "empty.py").write_bytes(b"")
     (tmp_path / "big.js").write_bytes(b"x" * (1024 * 1024 + 1))
     (tmp_path / "note.md").write_text("no")
-    got = {r.file_name: (r.content, r.status, r.language) for r in corpus.read_corpus(spark, str(tmp_path), max_mb=1).collect()}
+    got = {r.file_name: (r.content, r.status, r.language) for r in corpus.read_corpus(spark, str(tmp_path), max_mb=1, keep_empty=True).collect()}
     assert got == {"a.cs": ("class A\n{ }", "Completed", "csharp"), "empty.py": ("", "Completed", "python"), "big.js": (None, "Error", "javascript")}
+    whole = {r.file_name: (r.status, len(r.content)) for r in corpus.read_corpus(spark, str(tmp_path)).collect()}
+    assert whole == {"a.cs": ("Completed", 11), "big.js": ("Completed", 1024 * 1024 + 1)}
 
 
 def test_ground_truth_source(spark, tmp_path):
@@ -110,6 +112,16 @@ def test_history(spark, tmp_path):
     assert rows(kept, "id") == [(2,)] and kids.count() == 0
 
 
+def test_purge_rewrites_the_store(spark, tmp_path):
+    s = spark.sql("SELECT id, TIMESTAMP_NTZ'2024-01-01 10:00:00' + make_dt_interval(CAST(id AS INT)) AS created_at FROM range(6)")
+    H.append_session(s, str(tmp_path / "s"))
+    H.append_session(s.select(F.col("id").alias("session_id"), "created_at", F.lit("f").alias("file_name")), str(tmp_path / "f"))
+    paths = H.purge_store(spark, str(tmp_path / "s"), str(tmp_path / "f"), str(tmp_path / "v1"), cutoff="2024-01-03", session_id=4)
+    kept, kids = (H.read_sessions(spark, p) for p in paths)
+    assert rows(kept, "id") == [(2,), (3,), (5,)] and rows(kids, "session_id") == [(2,), (3,), (5,)]
+    assert sorted(p.name for p in (tmp_path / "v1" / "sessions").iterdir() if p.is_dir()) == ["created_date=2024-01-03", "created_date=2024-01-04", "created_date=2024-01-06"]
+
+
 def stream_of(spark, tmp_path, df):
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     return spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
