@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..data import keywords as K
 from ..functions.text import any_of, contains_ci, jre, strip
+from ..session import cut_lineage
 
 ANALYSIS_SCHEMA = (
     "confidenceScore int, businessImpact string, "
@@ -69,8 +70,8 @@ def unstructured(responses: DataFrame) -> DataFrame:
 
 
 def explode_analysis(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Analyses, findings and recommendations of the structured answers."""
-    d = structured(responses)
+    """Analyses, findings and recommendations of the structured answers, which are parsed once."""
+    d = cut_lineage(structured(responses).select("response_id", "agent", "j"))
     analyses = d.select("response_id", "agent", F.col("j.confidenceScore").alias("confidence"), F.col("j.businessImpact").alias("impact"))
     none = F.array(F.struct(F.lit("Security").alias("category"), F.lit("No security issues were detected in the provided context.").alias("description"),
                             F.lit("LOW").alias("severity"), F.lit("").alias("location"), F.array().cast("array<string>").alias("evidence")))

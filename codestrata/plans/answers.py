@@ -211,8 +211,8 @@ def _triage(col: int) -> str:
 
 
 VIEWS["v_log"] = f"SELECT event_id AS log_id, {pick(ERROR_TYPES, 'user_id % 7')} AS error_type, {pick(ERROR_MESSAGES, 'event_id % 4')} AS message FROM events WHERE event_type = 'error'"
-register("error_triage", lambda s, d: VD.error_triage(_log(s, d)).withColumn("error_code", F.substring("error_code", 1, 7)), q(
-    f"SELECT log_id, error_type, 'ERR-' || upper(substr(error_type, 1, 3)) AS error_code, {_triage(2)} AS retryable, {_triage(3)} AS delay_seconds, {_triage(4)} AS remedy FROM v_log"))
+register("error_triage", lambda s, d: VD.error_triage(_log(s, d)), q(
+    f"SELECT log_id, error_type, 'ERR-' || upper(substr(error_type, 1, 3)) || '-' || upper(substr(md5(error_type), 1, 8)) AS error_code, {_triage(2)} AS retryable, {_triage(3)} AS delay_seconds, {_triage(4)} AS remedy FROM v_log"))
 register("partial_gate", lambda s, d: VD.partial_gate(V.analyses(s, d)), q("""
 SELECT project, agents, succeeded, failed, succeeded >= 2 AS keep_partial, CASE WHEN failed = 0 THEN 'complete' WHEN succeeded >= 2 THEN 'partial' ELSE 'failed' END AS outcome
 FROM (SELECT project, count(*) AS agents, count(*) FILTER (NOT is_error) AS succeeded, count(*) FILTER (is_error) AS failed FROM v_analyses GROUP BY project)"""))

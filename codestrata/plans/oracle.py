@@ -118,15 +118,15 @@ SELECT conv_id, turn, role AS from_agent, {pick(['Analysis', 'PeerReview', 'Chal
 FROM conversations"""
 VIEWS["v_resp0"] = f"""
 SELECT conv_id, turn, text, {pick(_AGENTS, 'conv_id % 3')} AS agent, 'Unit' || (conv_id % 50) || '.cs' AS file,
-       regexp_replace(substr(text, 1, 60), '["\\\\\\n\\r\\t]', ' ', 'g') AS first
+       text AS first, substr(CAST(to_json(text) AS VARCHAR), 2, length(CAST(to_json(text) AS VARCHAR)) - 2) AS esc
 FROM conversations WHERE role = 'assistant'"""
 VIEWS["v_resp1"] = """
 SELECT *, '{"confidenceScore": ' || (conv_id % 90 + 10) || ', "businessImpact": "cost risk", "findings": [' ||
-  CASE WHEN turn % 3 = 0 THEN '' ELSE '{"category": "SQL Injection", "description": "' || first ||
+  CASE WHEN turn % 3 = 0 THEN '' ELSE '{"category": "SQL Injection", "description": "' || esc ||
        '", "severity": "HIGH", "location": "' || file || ':7"}' END ||
   '], "recommendations": [{"title": "Fix ' || (turn % 5) || '", "estimatedHours": ' || (conv_id % 40) ||
   ', "priority": "HIGH"}], "semanticIssues": [{"issueType": "TypeSafety", "category": "naming", "severity": ' || (conv_id % 5) ||
-  ', "lineNumber": ' || (turn + 1) || '}], "analyses": [{"fileName": "' || file || '", "assessment": "' || first || '"}]}' AS body
+  ', "lineNumber": ' || (turn + 1) || '}], "analyses": [{"fileName": "' || file || '", "assessment": "' || esc || '"}]}' AS body
 FROM v_resp0"""
 VIEWS["v_responses"] = """
 SELECT conv_id || '-' || turn AS response_id, agent, conv_id, turn, file AS expected_file, first,
