@@ -141,10 +141,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = near_duplicates(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id, of equal rows one."""
-    keep = near_duplicates(docs).where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_sh_id")).distinct()
-    d = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_sh_id"]), "left_semi")
-    return d.dropDuplicates(["doc_id", "text"])

@@ -1,10 +1,11 @@
+import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from codestrata.llm import mixing, packing, quality
+from codestrata.llm import mixing, neardup, packing, quality
 
 from . import brute
-from .conftest import SCHEMA, rows
+from .conftest import SCHEMA, prose, rows
 
 
 def expected(data, model):
@@ -52,3 +53,36 @@ def test_stages_keep_the_columns(docs, empty, spark, tmp_path):
             out = stage(spark, d, str(tmp_path))
             assert out.columns == docs.columns
             assert out.count() <= d.count()
+
+
+def test_near_copies_with_scattered_edits_go(spark):
+    """Pairs of 5-word Jaccard of 0.8 and more are one group, pairs below are not; 3 bits of SimHash miss most of them."""
+    rng, texts, alike = random.Random(21), [], 0
+    for i in range(60):
+        a = prose(rng, 300).split()
+        b = list(a)
+        for k in rng.sample(range(5, 295), rng.choice([3, 5, 6])):
+            b[k] = "edited"
+        c = a[:150] + prose(rng, 150).split()  # half new: stays
+        texts += [(3 * i, " ".join(a)), (3 * i + 1, " ".join(b)), (3 * i + 2, " ".join(c))]
+    shingles = [{tuple(t.lower().split()[k:k + 5]) for k in range(len(t.split()) - 4)} for _, t in texts]
+    want = set(range(180))
+    for i in range(60):
+        a, b = shingles[3 * i], shingles[3 * i + 1]
+        if 5 * len(a & b) >= 4 * len(a | b):
+            want.discard(3 * i + 1)
+            alike += 1
+    assert alike >= 30
+    d = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    assert {r.doc_id for r in neardup.stage(spark, d, "").collect()} == want
+
+
+def test_near_copies_across_a_chain(spark):
+    """A large group whose ends are not alike is one group, also where no set is alike to the least of its key."""
+    words = prose(random.Random(22), 400).split()
+    chain = [(i, " ".join([f"w{k}" for k in range(i * 10)] + words[i * 10:])) for i in range(30)]
+    d = spark.createDataFrame(chain + [(100, None), (101, ""), (102, " ")], "doc_id bigint, text string")
+    near = neardup.near_copies(d).collect()
+    by = {r.doc_id: r.root for r in near}
+    assert len({by[i] for i in range(30)}) == 1 and by[100] == by[101] == by[102] != by[0]
+    assert neardup.near_copies(d.limit(0)).count() == 0
