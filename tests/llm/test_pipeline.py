@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from codestrata.llm import mixing, neardup, packing, quality
 
@@ -86,3 +88,23 @@ def test_near_copies_across_a_chain(spark):
     by = {r.doc_id: r.root for r in near}
     assert len({by[i] for i in range(30)}) == 1 and by[100] == by[101] == by[102] != by[0]
     assert neardup.near_copies(d.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group_also_without_ids(spark):
+    """Null ids and two texts under one id: groups are chosen by row, not by id."""
+    rng = random.Random(23)
+    a, b, c, e = (prose(rng, 120) for _ in range(4))
+    data = [(None, a), (None, a + " more"), (1, b), (None, b + " more"), (7, c), (7, c + " more"), (7, e), (None, None), (None, None)]
+    d = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in neardup.stage(spark, d, "").collect()]
+    assert len(got) == 5 and (1, b) in got and (7, e) in got and (None, None) in got
+    assert sum(t in (a, a + " more") for _, t in got) == 1 and sum(t in (c, c + " more") for _, t in got) == 1
+
+
+def test_one_row_of_each_group_of_all_rows_without_ids(spark):
+    """The whole of rows(), with null ids and the second text of id 7."""
+    data = rows()
+    d = spark.createDataFrame(data, SCHEMA)
+    got = neardup.stage(spark, d, "").collect()
+    groups = {(r.doc_id, r.text): r.root for r in neardup.near_copies(d).join(d.select("doc_id", F.xxhash64("text").alias("v"), "text"), "v").select(d["doc_id"], "text", "root").collect()}
+    assert sorted(groups[r.doc_id, r.text] for r in got) == sorted(set(groups.values()))
