@@ -57,19 +57,23 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(x)
                 at = to
         yield pa.RecordBatch.from_arrays(
-            [b.column(0).take(pa.array(row, pa.int64())), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(again, pa.bool_())],
-            ["doc_id", "digest", "start", "end", "again"])
+            [b.column(0).take(pa.array(row, pa.int64())), b.column(2).take(pa.array(row, pa.int64())), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(again, pa.bool_())],
+            ["doc_id", "version", "digest", "start", "end", "again"])
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, chunks (start, end): those whose digest occurred in a smaller doc_id or before in the same text."""
+    """doc_id, version (hash of the text), chunks (start, end): those whose digest occurred before.
+
+    Before is a smaller (doc_id, version), null ids first, or further up in the same text. Equal rows are one
+    document.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    c = docs.select("doc_id", "text").mapInArrow(_chunks, f"doc_id {kind}, digest bigint, start int, end int, again boolean")
+    d = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
+    c = d.mapInArrow(_chunks, f"doc_id {kind}, version bigint, digest bigint, start int, end int, again boolean")
     # written once: the join then reads plain shuffles on both sides, which a very common chunk can be split in
-    first = cut_lineage(c.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id")).alias("first")).where("n > 1")
-                        .select("digest", F.col("first.doc_id").alias("first")))
-    later = c.join(first, "digest").where(F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("chunks"))
+    first = cut_lineage(c.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "version")).alias("first")).where("n > 1").drop("n"))
+    later = c.join(first, "digest").where(F.col("again") | ~F.struct("doc_id", "version").eqNullSafe(F.col("first")))
+    return later.groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "end")).alias("chunks"))
 
 
 def spans(chunks: list[tuple[int, int]], least: int = SPAN) -> list[tuple[int, int]]:
@@ -105,12 +109,13 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, text without repeated passages, spans (UTF-8 byte ranges that went).
 
-    The first occurrence of a chunk in (doc_id, place) order stays, null ids first; of all others, runs
-    of at least ``SPAN`` bytes go. Null texts stay null, empty ones empty; rows of one doc_id count as one
-    document; an empty table gives an empty result; other columns are not read.
+    The first occurrence of a chunk in (doc_id, hash of the text, place) order stays, null ids first; of all
+    others, runs of at least ``SPAN`` bytes go. Null texts stay null, empty ones empty; rows that agree in
+    doc_id and text are one document and are cut alike; an empty table gives an empty result; other columns
+    are not read.
     """
-    r = repeated_chunks(docs).select(F.col("doc_id").alias("id"), "chunks")
-    d = docs.join(r, docs["doc_id"].eqNullSafe(r["id"]), "left").select(docs["doc_id"], docs["text"], "chunks")
+    r = repeated_chunks(docs).select(F.col("doc_id").alias("id"), "version", "chunks")
+    d = docs.join(r, docs["doc_id"].eqNullSafe(r["id"]) & (F.xxhash64(docs["text"]) == r["version"]), "left").select(docs["doc_id"], docs["text"], "chunks")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return d.mapInArrow(_removed, f"doc_id {kind}, text string, spans array<struct<start:int,end:int>>")
 

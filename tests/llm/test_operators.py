@@ -335,6 +335,38 @@ def test_substring_dedup_equals_brute_force(docs, empty):
     assert chunkdedup.dedup_substrings(empty).count() == 0
 
 
+def brute_substrings(pairs):
+    """Counter of (doc_id, text left), documents in (doc_id, hash of the text) order, repeated rows as one."""
+    def version(t):
+        v = brute.xxhash.xxh64_intdigest(t.encode(), 42)
+        return v - (1 << 64) if v >> 63 else v
+
+    seen, left = set(), {}
+    for d, t in sorted({(d, t) for d, t in pairs if t}, key=lambda r: (brute.key(r[0]), version(r[1]))):
+        data, at, gone = t.encode(), 0, []
+        for to in chunkdedup.cuts(data).tolist():
+            if data[at:to] in seen:
+                gone.append((at, to))
+            seen.add(data[at:to])
+            at = to
+        at, kept = 0, []
+        for a, z in chunkdedup.spans(gone):
+            kept.append(data[at:a])
+            at = z
+        left[d, t] = b"".join([*kept, data[at:]]).decode()
+    return Counter((d, left.get((d, t), t)) for d, t in pairs)
+
+
+def test_substring_dedup_tells_texts_of_one_id_apart(docs, spark):
+    """Id 7 with both its texts, and null ids with different non-ASCII texts that share passages."""
+    rng = random.Random(31)
+    shared = prose(rng, 60).replace("e", "é")
+    nulls = [(None, f"{prose(rng, 30 + 7 * i).replace('a', 'ä')} {shared} {prose(rng, 40).replace('o', '😀')}") for i in range(6)]
+    nulls += [(9000, nulls[0][1]), (7, shared + " " + shared)]
+    d = docs.select("doc_id", "text").union(spark.createDataFrame(nulls, "doc_id bigint, text string"))
+    assert multiset(chunkdedup.dedup_substrings(d), "doc_id", "text") == brute_substrings(PAIRS + nulls)
+
+
 def test_passages_of_fifty_words_are_found():
     rng, caught, alone = random.Random(9), 0, 0
     for _ in range(200):
