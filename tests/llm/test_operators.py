@@ -385,6 +385,38 @@ def test_passages_of_fifty_words_are_found():
     assert caught >= 196 and alone == 0
 
 
+def test_whole_passages_go(spark):
+    """Nearly all bytes of each repeated passage of 51 words go, and nothing around it."""
+    rng, data, where = random.Random(33), [], {}
+    for i in range(150):
+        passage, b = prose(rng, 51), prose(rng, 80)
+        if i % 3 == 0:
+            passage, b = passage.replace("e", "é"), b.replace("a", "😀")
+        data += [(i, f"{prose(rng, 80)} {passage} {prose(rng, 80)}"), (1000 + i, f"{b} {passage} {prose(rng, 80)}")]
+        where[1000 + i] = (len(b.encode()) + 1, len(b.encode()) + 1 + len(passage.encode()))
+    d = spark.createDataFrame(data, "doc_id bigint, text string").repartition(4)
+    gone = {r.doc_id: r.spans for r in chunkdedup.dedup_passages(d).collect()}
+    assert all(not gone[i] for i in range(150))
+    shares = []
+    for i, (lo, hi) in where.items():
+        shares.append(sum(max(0, min(s.end, hi) - max(s.start, lo)) for s in gone[i]) / (hi - lo))
+        assert all(s.start >= lo - 8 and s.end <= hi + 8 for s in gone[i])
+    assert sum(x > 0.98 for x in shares) >= 149 and sum(shares) / 150 > 0.99
+
+
+def test_passages_keep_every_byte_once(docs, empty, spark):
+    rng = random.Random(34)
+    shared = prose(rng, 60).replace("e", "é")
+    more = [(None, f"{prose(rng, 20)} {shared} é{prose(rng, 20)}") for _ in range(4)] + [(7, shared + " " + shared), (8, "ab" * 900), (9, "éè" * 900)]
+    d = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id bigint, text string"))
+    got = chunkdedup.dedup_passages(d).collect()
+    assert Counter(r.doc_id for r in got) == Counter(k for k, _ in PAIRS + more)
+    left = "\0".join(r.text or "" for r in got)
+    assert all(w in left for w in shared.split()) and left.count(shared) == 1
+    assert sum(r.text is None for r in got) == sum(t is None for _, t in PAIRS)
+    assert chunkdedup.dedup_passages(empty).count() == 0
+
+
 def test_shared_passages_go(docs):
     out = {r.doc_id: r for r in chunkdedup.dedup_substrings(docs).where("doc_id between 80 and 84").collect()}
     text = dict(PAIRS)
