@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,10 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 
-#: Tuples in a fingerprint, k-mers in a tuple, units in a k-mer.
-TUPLES, PICKS, K = 64, 2, 3
-#: A unit: up to eight characters of a word, so that text without blanks has units, too.
-UNIT = re.compile(r"\S{1,8}")
+#: Tuples in a fingerprint, k-mers in a tuple, characters in a k-mer (a power of two).
+TUPLES, PICKS, K = 64, 2, 16
 #: Values hashed at a time; bounds the memory for a very long text.
 VALUES = 1 << 18
 _MIX = np.random.default_rng(7).integers(1, 1 << 63, (2, TUPLES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -25,13 +22,20 @@ RANGE_CHARS = 64_000_000
 
 
 def _numbered(text: str) -> np.ndarray:
-    """One 64-bit hash for every k-mer and the number of its occurrence, in text order."""
-    u = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in UNIT.findall(text)), np.uint64, -1)
-    n = max(1, len(u) - K + 1)
-    h = np.zeros(n, np.uint64)
-    for i in range(min(K, len(u))):
-        h = (h ^ u[i:i + n]) * np.uint64(0x9E3779B97F4A7C15)
+    """One 64-bit hash for every k-mer and the number of its occurrence, in text order.
+
+    A k-mer ends at every character; before the text stand ``K`` - 1 zeros, so that the first characters,
+    and texts of fewer than ``K``, have k-mers too. Hashes of doubled width come from two of half the width.
+    """
+    h = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    n, h = len(h), np.concatenate([np.zeros(K - 1, np.uint64), h])
+    width = 1
+    while width < K:
+        h = (h[:-width] * np.uint64(0x9E3779B97F4A7C15)) ^ h[width:]
         h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        width *= 2
+    h = h ^ (h >> np.uint64(32))
     order = np.argsort(h, kind="stable")
     s = h[order]
     first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
@@ -42,19 +46,20 @@ def _numbered(text: str) -> np.ndarray:
 
 
 def fingerprint(text: str | None) -> str:
-    """``TUPLES`` times four hex digits; a text without units gives zeros.
+    """``TUPLES`` times four hex digits; an empty text gives zeros.
 
     Each tuple has a hash order of its own over the numbered k-mers. It takes the ``PICKS`` smallest, puts
     them back into text order and hashes their sequence. A text of fewer k-mers uses all it has.
     """
-    if not text or not UNIT.search(text):
+    if not text:
         return "0" * (4 * TUPLES)
     h = _numbered(text)
     n, picks = len(h), min(PICKS, len(h))
     best = np.empty((TUPLES, picks), np.int64)
     step = max(1, VALUES // n)
     for at in range(0, TUPLES, step):
-        r = (h[None, :] ^ _MIX[0, at:at + step, None]) * _MIX[1, at:at + step, None]
+        r = h[None, :] ^ _MIX[0, at:at + step, None]
+        r *= _MIX[1, at:at + step, None]
         for p in range(picks):
             i = r.argmin(axis=1)
             best[at:at + step, p] = i

@@ -287,6 +287,22 @@ def test_order_minhash_is_what_it_says():
     assert ordermin.fingerprint("") == ordermin.fingerprint(None) == "0" * 256
 
 
+def test_fingerprints_follow_edits_without_blanks_and_in_short_texts():
+    rng = random.Random(41)
+    plain = "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(2000))
+    other = "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(2000))
+    f = ordermin.fingerprint
+    assert ordermin.likeness(f(plain), f("x" + plain)) > 0.9
+    assert ordermin.likeness(f(plain), f(plain[:900] + plain[901:])) > 0.9
+    assert ordermin.likeness(f(plain), f(other)) < 0.2
+    near, far = [], []
+    for _ in range(100):
+        t, u = prose(rng, rng.randint(2, 4)), prose(rng, 4)
+        near.append(ordermin.likeness(f(t), f(ordermin.edited(t, u))))
+        far.append(ordermin.likeness(f(t), f(u)))
+    assert min(near) > 0.1 and sum(near) / 100 > 0.4 > 0.1 + sum(far) / 100
+
+
 def test_fingerprints_of_all_rows(docs, empty):
     assert ordermin.fingerprints(docs).count() == len(PAIRS) and ordermin.fingerprints(empty).count() == 0
 
