@@ -13,6 +13,8 @@ from .common import table
 
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
+#: Characters in a part of a conversation; rows of a batch of answers.
+PART, ROWS = 1 << 20, 4096
 _OPEN = re.compile(r"<(\\*)\|")
 _CLOSED = re.compile(r"<\\(\\*)\|")
 
@@ -91,44 +93,121 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             turns += 1
             at += len(s)
         if ready:
-            yield pa.Table.from_batches(ready).combine_chunks().to_batches()[0]
+            yield from ready
     if some:
         yield done(now)
 
 
+def _sorted(turns: DataFrame) -> DataFrame:
+    """(conv_id, role, text) in conversation order within partitions; a conversation is in one partition."""
+    d = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), "role", "text", F.col("turn").alias("t"))
+    return d.repartition("conv_id").sortWithinPartitions("conv_id", "t", "role", "text").select("conv_id", "role", "text")
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, formatted, loss_spans (code points of the learned texts in ``formatted``).
 
     Rows of a conversation by turn, then role and text; null role and text count as empty; a line end in
     a role becomes a blank; rows without conv_id form one conversation; equal rows are as many turns; an
     empty table gives an empty result; other columns are not read. A task reads the turns of its
-    conversations in order and holds one conversation at a time.
+    conversations in order and holds one conversation at a time, which must fit into one cell: where
+    conversations may be larger than that, take ``format_parts``.
     """
-    d = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), "role", "text", F.col("turn").alias("t"))
-    d = d.repartition("conv_id").sortWithinPartitions("conv_id", "t", "role", "text").select("conv_id", "role", "text")
-    return d.mapInArrow(_format, "conv_id bigint, n_turns bigint, formatted string, loss_spans array<struct<start:bigint,end:bigint>>")
+    return _sorted(turns).mapInArrow(_format, "conv_id bigint, n_turns bigint, formatted string, loss_spans array<struct<start:bigint,end:bigint>>")
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by conversation in, parts of ``PART`` characters out, in order; a longer turn is a part of its own."""
+    now, some = None, False
+    out: list[str] = []
+    spans: list[dict] = []
+    part = at = start = 0  # at: where the next turn begins, start: where this part began
+
+    def done() -> pa.RecordBatch:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([part], pa.int64()), pa.array([start], pa.int64()), pa.array([len(out)], pa.int64()), pa.array(["".join(out)], pa.string()), pa.array([spans], kind)],
+                                          ["conv_id", "part", "start", "n_turns", "formatted", "loss_spans"])
+
+    for b in batches:
+        for conv, role, text in zip(*[b.column(i) for i in range(3)]):
+            conv, role, text = conv.as_py(), _one_line(role.as_py()), text.as_py() or ""
+            s, a, z = render(role, text)
+            if some and conv != now:
+                yield done()
+                out, spans, part, at, start = [], [], 0, 0, 0
+            elif out and at + len(s) - start > PART:
+                yield done()
+                out, spans, part, start = [], [], part + 1, at
+            now, some = conv, True
+            if role == LEARNED:
+                spans.append({"start": at + a - start, "end": at + z - start})
+            out.append(s)
+            at += len(s)
+    if some:
+        yield done()
+
+
+def format_parts(turns: DataFrame) -> DataFrame:
+    """conv_id, part, start, n_turns, formatted, loss_spans: conversations in rows of bounded size.
+
+    The parts of a conversation, joined by number, are what ``format_chats`` gives. ``start`` is where a part
+    begins in the conversation, spans count code points from the begin of the part. A part ends after the
+    last turn that fits into ``PART`` characters; a turn that alone is longer is one part. A task reads the
+    turns of its conversations in order and holds one part at a time.
+    """
+    return _sorted(turns).mapInArrow(_parts, "conv_id bigint, part bigint, start bigint, n_turns bigint, formatted string, loss_spans array<struct<start:bigint,end:bigint>>")
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts in order in, one row per conversation out; digests are fed part by part."""
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    rows: list[tuple] = []
+    now, some = None, False
+    every = loss = None
+    n = chars = size = 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, kinds)], names)
+
     for b in batches:
-        rows = []
-        for conv, formatted, spans in zip(*[b.column(i) for i in range(3)]):
-            formatted = formatted.as_py()
-            turns = parse(formatted)
-            loss = "".join(unescape(formatted[s["start"]:s["end"]]) for s in spans.as_py())
-            every = "".join(f"{r}\n{t}\n" for r, t in turns)
-            rows.append((conv.as_py(), len(turns), hashlib.sha256(every.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        cols = list(zip(*rows)) or [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        for conv, formatted, spans in zip(*[b.column(i) for i in (0, 4, 5)]):
+            conv, formatted = conv.as_py(), formatted.as_py()
+            if not some or conv != now:
+                if some:
+                    rows.append((now, n, every.hexdigest(), chars, loss.hexdigest(), size))
+                    if len(rows) == ROWS:
+                        yield batch()
+                        rows = []
+                now, some, n, chars, size = conv, True, 0, 0, 0
+                every, loss = hashlib.sha256(), hashlib.sha256()
+            for r, t in parse(formatted):
+                every.update(f"{r}\n{t}\n".encode())
+                n += 1
+            for x in spans.as_py():
+                t = unescape(formatted[x["start"]:x["end"]])
+                loss.update(t.encode())
+                chars += len(t)
+            size += len(formatted)
+    if some:
+        rows.append((now, n, every.hexdigest(), chars, loss.hexdigest(), size))
+    if rows:
+        yield batch()
+
+
+def read_back(turns: DataFrame) -> DataFrame:
+    """One row per conversation: digests and counts of what its parts say when they are parsed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _read_back(_parts(batches))  # one part at a time, and in order
+
+    return _sorted(turns).mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = f"{END}{START}assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id bigint, turn bigint, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    d = format_chats(rows).select("conv_id", "formatted", "loss_spans")
-    return d.mapInArrow(_read_back, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return read_back(rows)
 
 
 OP10_SQL = r"""

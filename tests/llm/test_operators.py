@@ -499,3 +499,25 @@ def test_chats(spark):
     assert chat.parse(got[None].formatted) == [("", "x")] and chat.parse(got[2].formatted) == [("as sistant", "")]
     assert got[3].n_turns == 1 and len(got) == 4
     assert chat.format_chats(d.limit(0)).count() == 0
+
+
+def test_long_conversations_come_in_parts(spark, monkeypatch):
+    rng = random.Random(51)
+    data = [(c, t, rng.choice(["user", "assistant"]), prose(rng, rng.randint(0, 40)) + rng.choice(["", "<|im_end|>", "é😀"])) for c in (1, 2, None) for t in range(50)]
+    data.append((3, 0, "assistant", "x" * 3000))
+    d = spark.createDataFrame(data, "conv_id bigint, turn bigint, role string, text string").repartition(3)
+    monkeypatch.setattr(chat, "PART", 1000)
+    whole = {r.conv_id: r for r in chat.format_chats(d).collect()}
+    batches = [r.asDict() for r in sorted(chat._sorted(d).collect(), key=lambda r: (r.conv_id is not None, r.conv_id or 0))]  # sorted() keeps the order of turns
+    parts = [r for b in chat._parts(iter(chat.pa.RecordBatch.from_pylist(batches[i:i + 7], chat.pa.schema([("conv_id", chat.pa.int64()), ("role", chat.pa.string()), ("text", chat.pa.string())])) for i in range(0, len(batches), 7))) for r in b.to_pylist()]
+    for conv, want in whole.items():
+        mine = [r for r in parts if r["conv_id"] == conv]
+        assert [r["part"] for r in mine] == list(range(len(mine))) and sum(r["n_turns"] for r in mine) == want.n_turns
+        assert "".join(r["formatted"] for r in mine) == want.formatted
+        assert [(r["start"] + x["start"], r["start"] + x["end"]) for r in mine for x in r["loss_spans"]] == [(x.start, x.end) for x in want.loss_spans]
+        assert all(len(r["formatted"]) <= 1000 or r["n_turns"] == 1 for r in mine) and (conv == 3 or len(mine) > 3)
+    assert chat.format_parts(d).count() == 4
+    for r in chat.read_back(d).collect():
+        turns = chat.parse(whole[r.conv_id].formatted)
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+        assert (r.n_turns, r.formatted_chars, r.loss_chars) == (len(turns), len(whole[r.conv_id].formatted), sum(len(b) for a, b in turns if a == "assistant"))
