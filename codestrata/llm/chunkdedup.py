@@ -226,7 +226,7 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     A run of two chunks (or one of ``ALONE`` bytes) is a candidate. Each end of it is compared byte by byte
     with what stands around the first occurrence of its outer chunks; ``SPAN`` is judged after that. A byte
     that goes always has an equal one earlier in (doc_id, hash of the text, place) order. Texts move
-    once: what stands around first occurrences and the cut read the same exchange.
+    for what stands around first occurrences and for the cut; Spark may reuse one exchange for both.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     repeated, first = _repeated(docs)
@@ -236,7 +236,7 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     asked = asked.agg(F.collect_list(F.struct(F.col("first.start").alias("start"), "digest")).alias("asked"))
     at = docs["doc_id"].eqNullSafe(asked["id"]) & (F.xxhash64(docs["text"]) == asked["version"])
     sides = docs.join(asked, at).select(docs["text"], "asked").mapInArrow(_sides, "digest bigint, before binary, after binary")
-    sides = sides.dropDuplicates(["digest"])  # not written: its texts then come out of the exchange that the cut reads
+    sides = sides.dropDuplicates(["digest"])  # not written, so that Spark may take its texts from the exchange that the cut reads
     around = edges.join(sides, "digest").groupBy("doc_id", "version").agg(F.collect_list(F.struct("digest", "before", "after")).alias("around"))
     around = around.select(F.col("doc_id").alias("id"), F.col("version").alias("v"), "around")
     r = repeated.join(around, repeated["doc_id"].eqNullSafe(around["id"]) & (repeated["version"] == around["v"]), "left")
