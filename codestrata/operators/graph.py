@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.substr import containing_pairs
 from ..functions.text import file_stem, jre
 from ..session import cut_lineage, written
-from .symbols import body_of, container_of, extract_imports, owner_of, with_marks
+from .symbols import CLASS_KINDS, body_of, container_of, extract_imports, owner_of, with_marks
 
 GOD_DEGREE = 20
 
@@ -39,6 +39,20 @@ def declarations(files: DataFrame) -> DataFrame:
                                                  F.when(F.col("kind") != "class", F.col("name"))))
 
 
+def declared(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """The members that ``dep_nodes`` reads, from a table of symbols (by blocks, or by extractors of one's own).
+
+    A nested type's path names the types around it, so two inner types of one name stay two nodes.
+    """
+    spaces = files.select("file_name", container_of().alias("namespace"))
+    is_type = F.col("kind").isin(CLASS_KINDS)
+    path = F.when(is_type, F.concat_ws(".", "owner", "name")).otherwise(F.col("owner"))
+    d = symbols.where(is_type | F.col("kind").isin("method", "property")).withColumn("path", path).where("path IS NOT NULL")
+    d = d.join(spaces, "file_name").select("file_name", "language", "namespace", "line", F.when(is_type, "class").otherwise(F.col("kind")).alias("kind"),
+                                           "name", F.col("path").alias("owner"), "bases")
+    return d.withColumn("node_id", F.concat_ws("::", "file_name", "namespace", "owner", F.when(F.col("kind") != "class", F.col("name"))))
+
+
 def dep_nodes(decl: DataFrame) -> DataFrame:
     """One node per class, method and property; the first declaration of an id wins."""
     full_name = F.when(F.col("kind") == "class",

@@ -173,9 +173,23 @@ def _count_marks(marks: Column, kind: str) -> Column:
     return F.coalesce(F.size(F.filter(marks, lambda m: m["kind"] == kind)), F.lit(0))
 
 
-def file_counts(files: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """Class, method, property and import counts per file, in one pass and no shuffle."""
+#: Kinds of a table of symbols that count as classes.
+CLASS_KINDS = ["class", "struct", "record"]
+
+
+def file_counts(files: DataFrame, extra: list[str] | None = None, symbols: DataFrame | None = None) -> DataFrame:
+    """Class, method, property and import counts per file, in one pass and no shuffle.
+
+    With ``symbols`` (by blocks, or by extractors of one's own) declarations are counted from that table.
+    """
     imports = _per_language({lang: f"size(filter(lines, x -> {finds_sql('x', 'x', p, '')}))" for lang, (p, _, _) in IMPORTS.items()}, "0")
+    if symbols is not None:
+        kinds = {"classes": F.col("kind").isin(CLASS_KINDS), "methods": F.col("kind") == "method", "properties": F.col("kind") == "property"}
+        counts = symbols.groupBy("file_name").agg(*[F.count_if(c).alias(n) for n, c in kinds.items()])
+        slim = files.select("file_name", "language", *(extra or []), split_lines(F.col("content")).alias("lines"))
+        slim = slim.select("file_name", "language", *(extra or []), imports.alias("imports"), F.size("lines").alias("loc"))
+        return slim.join(counts, "file_name", "left").select(
+            "file_name", "language", *(extra or []), *[F.coalesce(n, F.lit(0)).alias(n) for n in kinds], "imports", "loc")
     return with_marks(files, extra).select(
         "file_name", "language", *(extra or []),
         _count_marks(F.col("marks"), "class").alias("classes"), _count_marks(F.col("marks"), "method").alias("methods"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .registry import ORACLES, QUERIES
 
-_MODULES = ["corpus", "graphs", "rollups", "quality", "answers", "teams"]
+_MODULES = ["corpus", "blocks", "graphs", "rollups", "quality", "answers", "teams"]
 
 
 def _load() -> None:

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..data.samples import SAMPLES
 from ..data.snippets import EXTENSIONS, snippet_grid
-from ..functions.text import text_array
+from ..functions.text import detect_language, text_array
 
 MODULES = ["Controllers", "Services", "Models", "Repository", "Tests"]
 AS_OF = "2024-01-01"
@@ -55,6 +56,15 @@ def shape_files(d: DataFrame) -> DataFrame:
     )
 
 
+def nested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file per document: a text with nested types and long heads, followed by the document's prose."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ext = _pick(EXTENSIONS, F.col("doc_id") % 7)
+    code = _pick([SAMPLES[e] for e in EXTENSIONS], F.col("doc_id") % 7)
+    name = F.concat(F.lit("app/Nested/U"), F.col("doc_id").cast("string"), F.lit("."), ext)
+    return d.select(name.alias("file_name"), detect_language(name).alias("language"), F.concat(code, F.lit("\n"), F.col("text")).alias("content"))
+
+
 def web_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     path = F.regexp_extract("url", r"^[a-z]+://[^/]+([^?#]*)", 1)
