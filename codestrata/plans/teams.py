@@ -127,9 +127,10 @@ register("history_lookup", lambda s, d: H.session_by_id(V.sessions(s, d), V.sess
 
 def _purge(s, d):
     path, sessions = _fresh(s, "purge"), V.sessions(s, d)
-    H.append_session(sessions, f"{path}/0/sessions", "month")
-    H.append_session(V.session_files(s, d).join(sessions.select(F.col("id").alias("session_id"), "created_at"), "session_id"), f"{path}/0/files", "month")
-    kept, files = (H.read_sessions(s, p) for p in H.purge_store(s, f"{path}/0/sessions", f"{path}/0/files", f"{path}/1", cutoff="1997-01-01", session_id=7))
+    H.append_session(sessions, f"{path}/sessions", "month")
+    H.append_session(V.session_files(s, d).join(sessions.select(F.col("id").alias("session_id"), "created_at"), "session_id"), f"{path}/files", "month")
+    H.purge_store(s, f"{path}/sessions", f"{path}/files", cutoff="1997-01-01", session_id=7)
+    kept, files = (H.read_sessions(s, f"{path}/{p}") for p in ("sessions", "files"))
     return kept.select(F.lit("session").alias("kind"), "id", F.lit("").alias("file_name")).unionByName(
         files.select(F.lit("file").alias("kind"), F.col("session_id").alias("id"), "file_name"))
 
@@ -165,14 +166,24 @@ SELECT module, 'Completed' AS status, CAST(sum(octet_length(encode(content)) + 1
 
 
 def _scan_gt(s, d):
+    """Documents of many lines, many to a file, whose members are spelt in three ways."""
     path = _fresh(s, "truth")
     i = V.gt_issues(s, d)
-    doc = F.to_json(F.struct(
-        F.col("issue_id").alias("ID"), F.lit("set").alias("name"), F.array(F.struct(F.col("location").alias("FileName"), F.lit("csharp").alias("language"), F.lit(1).alias("issueCount"))).alias("Files"),
-        F.array(F.struct(F.col("issue_id").alias("Id"), F.col("category").alias("Category"), F.col("severity"), F.col("location"), F.col("line_number").alias("LineNumber"),
-                         F.col("expected_agents").alias("expectedDetectorAgents"), F.col("is_mandatory").alias("isMandatory"), F.col("difficulty").alias("difficultyLevel"))).alias("issues")))
-    i.select(doc.alias("value")).write.text(path)
-    files, issues = GT.read_ground_truth(s, path, multi_line=False)
+
+    def doc(spell):
+        issue = F.struct(F.col("issue_id").alias(spell("id")), F.col("category").alias(spell("category")), F.col("severity"), F.col("location"), F.col("line_number").alias(spell("lineNumber")),
+                         F.col("expected_agents").alias(spell("expectedDetectorAgents")), F.col("is_mandatory").alias(spell("isMandatory")), F.col("difficulty").alias(spell("difficultyLevel")))
+        files = F.array(F.struct(F.col("location").alias(spell("fileName")), F.lit("csharp").alias("language"), F.lit(1).alias(spell("issueCount"))))
+        return F.to_json(F.struct(F.col("issue_id").alias(spell("id")), F.lit("set").alias("name"), files.alias(spell("files")), F.array(issue).alias(spell("issues"))), {"pretty": "true"})
+
+    kind = F.col("issue_order") % 3
+    text = F.when(kind == 0, doc(str)).when(kind == 1, doc(str.upper)).otherwise(doc(lambda x: x[0].upper() + x[1:]))
+    batch = i.select(F.pmod(F.xxhash64("issue_id"), F.lit(64)).alias("file"), text.alias("doc"))
+    # a file is a list of documents; 64 files whatever the size, so lists are of a bounded share of the table
+    opened = batch.select("file", F.lit(1).alias("part"), F.concat("doc", F.lit(",")).alias("value"))
+    ends = s.range(64).select(F.col("id").alias("file"), F.inline(F.array(F.struct(F.lit(0).alias("part"), F.lit("[").alias("value")), F.struct(F.lit(2).alias("part"), F.lit("{}]").alias("value")))))
+    opened.unionByName(ends).repartition("file").sortWithinPartitions("file", "part").select("file", "value").write.partitionBy("file").text(path)
+    files, issues = GT.read_ground_truth(s, path)
     return issues.select(F.col("id").alias("issue_id"), "category", "severity", F.coalesce("lineNumber", F.lit(-1)).alias("line_number"),
                          F.array_join("expectedDetectorAgents", ",").alias("agents"), F.col("isMandatory").alias("is_mandatory"), F.col("difficultyLevel").alias("difficulty"))
 
@@ -182,9 +193,18 @@ SELECT issue_id, category, severity, coalesce(line_number, -1) AS line_number, c
 
 
 def _sink_gt(s, d):
+    """Datasets written and read again: statistics of the rows that came back, and those in the documents' heads."""
     path = _fresh(s, "truth-out")
-    GT.write_ground_truth(V.gt_files(s, d), V.gt_issues(s, d), path)
-    return GT.read_statistics(s, path)
-
-
-register("sink_ground_truth", _sink_gt, ORACLES["gt_dataset_stats"])
+    files = V.gt_files(s, d).select(F.concat(F.lit("set "), F.col("file_id") % 5).alias("dataset_id"), F.concat(F.lit("Unit"), "file_id").alias("fileName"), "language", F.lit(None).cast("string").alias("content"),
+                                    F.lit(None).cast("string").alias("relativePath"), F.col("issue_count").alias("issueCount"), F.lit(None).cast("int").alias("lineCount"))
+    nothing = F.lit(None).cast("string")
+    issues = V.gt_issues(s, d).select(F.concat(F.lit("set "), F.col("issue_order") % 7).alias("dataset_id"), F.col("issue_id").alias("id"), nothing.alias("fileName"), "category", nothing.alias("description"), "severity", "location",
+                                      F.col("line_number").alias("lineNumber"), nothing.alias("codeSnippet"), F.col("expected_agents").alias("expectedDetectorAgents"), F.lit(None).cast("array<string>").alias("tags"),
+                                      F.col("is_mandatory").alias("isMandatory"), F.col("difficulty").alias("difficultyLevel"))
+    GT.write_ground_truth(files, issues, path)
+    back = GT.statistics(*GT.read_ground_truth(s, path)).select(F.lit("rows").alias("of"), "dimension", "label", "n")
+    heads = GT.read_statistics(s, path).select(F.lit("heads").alias("of"), "dimension", "label", "n")
+    return back.unionByName(heads).groupBy("of", "dimension", "label").agg(F.sum("n").alias("n"))
+
+
+register("sink_ground_truth", _sink_gt, f"SELECT * FROM (VALUES ('rows'), ('heads')) t(of) CROSS JOIN (SELECT dimension, label, CAST(n AS BIGINT) AS n FROM ({ORACLES['gt_dataset_stats']}))")

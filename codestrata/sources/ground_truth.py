@@ -1,10 +1,17 @@
-"""Ground-truth datasets: nested JSON in, row folders out."""
+"""Ground-truth datasets: nested JSON documents in and out.
+
+Documents are read as VARIANT: each text is parsed once, and members are found by name without case in the parsed
+value, so no pass over the input infers a schema and documents may differ in spelling. Written datasets are
+one document each, under a version that becomes visible by one log entry.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ..operators.rollup import gt_dataset_stats
+from . import versions
 
 FILE_FIELDS = {"fileName": "string", "language": "string", "content": "string", "relativePath": "string", "issueCount": "int", "lineCount": "int"}
 ISSUE_FIELDS = {
@@ -12,48 +19,89 @@ ISSUE_FIELDS = {
     "lineNumber": "int", "codeSnippet": "string", "expectedDetectorAgents": "array<string>", "tags": "array<string>",
     "isMandatory": "boolean", "difficultyLevel": "string",
 }
+_STATISTIC = {"dimension": "string", "label": "string", "n": "bigint"}
+
+
+def _members(v: Column) -> Column:
+    return F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
 
 
-def _member(struct: T.StructType, name: str) -> str | None:
-    """Actual spelling of a field whose name matches without case."""
-    return next((f.name for f in struct.fields if f.name.lower() == name.lower()), None)
+def _member(members: Column, name: str) -> Column:
+    """The value of the first member whose name matches without case."""
+    return F.get(F.filter(members, lambda e: F.lower(e["key"]) == name.lower()), F.lit(0))["value"]
 
 
-def _items(df: DataFrame, name: str, fields: dict[str, str]) -> DataFrame:
-    top = _member(df.schema, name)
-    data_id = _member(df.schema, "id")
-    ident = F.col(data_id).cast("string") if data_id else F.lit(None).cast("string")
-    if top is None or not isinstance(df.schema[top].dataType.elementType, T.StructType):
-        cols = [F.lit(None).cast(t).alias(n) for n, t in fields.items()]
-        return df.select(ident.alias("dataset_id"), *cols).where(F.lit(False))
-    element = df.schema[top].dataType.elementType
+def _documents(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """One row per document with its members. A file, or a line, holds a document or a list of them."""
+    folders = versions.live(spark, path)[0]
+    paths = [f"{path}/{folders[-1]}"] if folders else [path]
+    text = spark.read.text(paths, wholetext=multi_line, recursiveFileLookup=True).where(F.col("value").rlike(r"\S"))
+    parsed = F.try_parse_json("value")
+    bad = F.raise_error(F.concat(F.lit("no JSON, or more than a variant holds: "), F.substring("value", 1, 80))).cast("variant")
+    docs = text.select(F.coalesce(parsed, F.when(F.col("value").isNotNull(), bad)).alias("v"))
+    many = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
+    return docs.select(F.explode(many).alias("v")).select(_members(F.col("v")).alias("members"))
 
+
+def _items(docs: DataFrame, name: str, fields: dict[str, str]) -> DataFrame:
     def build(x: Column) -> Column:
-        found = {n: _member(element, n) for n in fields}
-        return F.struct(*[(x[found[n]].cast(t) if found[n] else F.lit(None).cast(t)).alias(n) for n, t in fields.items()])
+        return F.struct(*[F.try_variant_get(_member(x, n), "$", t).alias(n) for n, t in fields.items()])
 
-    return df.select(ident.alias("dataset_id"), F.inline(F.transform(F.col(top), build)))
+    items = F.try_variant_get(_member(F.col("members"), name), "$", "array<variant>")
+    ident = F.try_variant_get(_member(F.col("members"), "id"), "$", "string")
+    return docs.select(ident.alias("dataset_id"), F.inline(F.transform(F.transform(items, _members), build)))
 
 
 def read_ground_truth(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Files and issues of every dataset under ``path``; names match without case."""
-    df = spark.read.option("multiLine", str(multi_line).lower()).json(path)
-    files = _items(df, "files", FILE_FIELDS)
-    issues = _items(df, "issues", ISSUE_FIELDS)
-    issues = issues.fillna(True, ["isMandatory"]).withColumn(
+    """Files and issues of every dataset under ``path``; names match without case.
+
+    ``path`` is a folder of documents, one per file (``multi_line``) or per line, or what ``write_ground_truth`` wrote.
+    Members that are missing or of another type are null; a text that is no JSON is an error.
+    """
+    docs = _documents(spark, path, multi_line)
+    issues = _items(docs, "issues", ISSUE_FIELDS).fillna(True, ["isMandatory"]).withColumn(
         "expectedDetectorAgents", F.coalesce("expectedDetectorAgents", F.array().cast("array<string>")))
-    return files, issues
+    return _items(docs, "files", FILE_FIELDS), issues
 
 
-def write_ground_truth(files: DataFrame, issues: DataFrame, path: str) -> None:
-    """Write files, issues and refreshed statistics as JSON row folders.
+def read_statistics(spark: SparkSession, path: str) -> DataFrame:
+    """(dataset_id, dimension, label, n) from the heads of the documents."""
+    return _items(_documents(spark, path, True), "statistics", _STATISTIC)
 
-    Rows instead of one nested document: a dataset of any size is written in parallel.
-    """
-    files.write.mode("overwrite").json(f"{path}/files")
-    issues.write.mode("overwrite").json(f"{path}/issues")
-    gt_dataset_stats(files, issues).write.mode("overwrite").json(f"{path}/statistics")
 
+def statistics(files: DataFrame, issues: DataFrame) -> DataFrame:
+    """(dataset_id, dimension, label, n): issues by severity, category and difficulty, by language from the files, and totals."""
+    kinds = F.array(*[F.struct(F.lit(d).alias("dimension"), c.alias("label")) for d, c in (
+        ("severity", F.col("severity")), ("category", F.col("category")), ("difficulty", F.col("difficultyLevel")), ("total issues", F.lit("")))])
+    by_issue = issues.select("dataset_id", F.inline(kinds)).groupBy("dataset_id", "dimension", F.coalesce("label", F.lit("")).alias("label")).agg(F.count("*").alias("n"))
+    kinds = F.array(F.struct(F.lit("language").alias("dimension"), F.coalesce("language", F.lit("")).alias("label"), F.coalesce("issueCount", F.lit(0)).cast("bigint").alias("n")),
+                    F.struct(F.lit("total files").alias("dimension"), F.lit("").alias("label"), F.lit(1).cast("bigint").alias("n")))
+    by_file = files.select("dataset_id", F.inline(kinds)).groupBy("dataset_id", "dimension", "label").agg(F.sum("n").alias("n"))
+    return by_issue.unionByName(by_file)
 
-def read_statistics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("dimension string, label string, n bigint").json(f"{path}/statistics")
+
+def write_ground_truth(files: DataFrame, issues: DataFrame, path: str) -> str:
+    """Write every dataset as one JSON document with fresh statistics; readers see all of them at once, or none.
+
+    ``files`` and ``issues`` have a ``dataset_id`` and the columns that ``read_ground_truth`` gives; other columns are not
+    written. A document is made of lines, one per file or issue, that stream through a task in order, so a
+    dataset needs no more memory than its longest line. Datasets are split over tasks, a dataset is not.
+    """
+    def lines(rows: DataFrame, part: int, fields: dict[str, str]) -> DataFrame:
+        return rows.select("dataset_id", F.lit(part).alias("part"), F.to_json(F.struct(*fields)).alias("json"))
+
+    heads = statistics(files, issues).groupBy("dataset_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("dimension", "label", "n")))).alias("stats"))
+    ident = F.coalesce(F.regexp_extract(F.to_json(F.struct("dataset_id")), r"^\{\"dataset_id\":(.*)\}$", 1), F.lit(""))
+    ident = F.when(F.col("dataset_id").isNull(), "null").otherwise(ident)
+    heads = heads.select("dataset_id", F.inline(F.array(
+        F.struct(F.lit(0).alias("part"), F.concat(F.lit('{"id":'), ident, F.lit(',"statistics":'), "stats", F.lit(',"files":[')).alias("json")),
+        F.struct(F.lit(2).alias("part"), F.lit('],"issues":[').alias("json")), F.struct(F.lit(4).alias("part"), F.lit("]}").alias("json")))))
+    every = heads.unionByName(lines(files, 1, FILE_FIELDS)).unionByName(lines(issues, 3, ISSUE_FIELDS))
+    first = F.row_number().over(W.partitionBy("dataset_id").orderBy("part", "json"))
+    before = F.lag("part").over(W.partitionBy("dataset_id").orderBy("part", "json"))
+    comma = F.when(before == F.col("part"), ",").otherwise("")
+    out = every.select("dataset_id", first.alias("place"), F.concat(comma, "json").alias("value"))
+    folder = f"v-{uuid.uuid4().hex}"
+    out.sortWithinPartitions("dataset_id", "place").select("dataset_id", "value").write.partitionBy("dataset_id").text(f"{path}/{folder}")
+    versions.commit(files.sparkSession, path, [("add", folder, None)])
+    return folder

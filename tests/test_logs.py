@@ -79,16 +79,49 @@ def test_consensus_rules(spark):
     assert rows(C.team_confidence(half), "confidence") == [(82,)]  # half to even
 
 
-def test_corpus_source(spark, tmp_path):
-    (tmp_path / "sub").mkdir()
+def tree(tmp_path):
+    (tmp_path / "sub" / "deep er").mkdir(parents=True)
     (tmp_path / "sub" / "a.cs").write_bytes(b"class A\r\n{ }")
+    (tmp_path / "sub" / "deep er" / "b+c.go").write_bytes("\ufeffpackage é".encode())
+    (tmp_path / "sub" / "deep er" / "bad.py").write_bytes(b"x = '\xff\xfe'")
     (tmp_path / "empty.py").write_bytes(b"")
     (tmp_path / "big.js").write_bytes(b"x" * (1024 * 1024 + 1))
     (tmp_path / "note.md").write_text("no")
-    got = {r.file_name: (r.content, r.status, r.language) for r in corpus.read_corpus(spark, str(tmp_path), max_mb=1, keep_empty=True).collect()}
-    assert got == {"a.cs": ("class A\n{ }", "Completed", "csharp"), "empty.py": ("", "Completed", "python"), "big.js": (None, "Error", "javascript")}
-    whole = {r.file_name: (r.status, len(r.content)) for r in corpus.read_corpus(spark, str(tmp_path)).collect()}
-    assert whole == {"a.cs": ("Completed", 11), "big.js": ("Completed", 1024 * 1024 + 1)}
+    (tmp_path / ".hidden").mkdir()
+    (tmp_path / ".hidden" / "h.cs").write_text("no")
+    return tmp_path
+
+
+def test_corpus_source(spark, tmp_path):
+    got = {r.file_name: (r.content, r.status, r.language) for r in corpus.read_corpus(spark, str(tree(tmp_path)), max_mb=1).collect()}
+    assert got == {"a.cs": ("class A\n{ }", "Completed", "csharp"), "empty.py": ("", "Completed", "python"), "big.js": (None, "Error", "javascript"),
+                   "b+c.go": ("package é", "Completed", "go"), "bad.py": ("x = '\ufffd\ufffd'", "Completed", "python")}
+    whole = {r.file_name: (r.status, len(r.content), r.error) for r in corpus.read_corpus(spark, f"file://{tmp_path}", keep_empty=False).where("content IS NOT NULL").collect()}
+    assert whole == {"a.cs": ("Completed", 11, None), "big.js": ("Completed", 1024 * 1024 + 1, None), "b+c.go": ("Completed", 9, None), "bad.py": ("Completed", 8, None)}
+
+
+def test_corpus_rows_of_what_cannot_be_read(spark, tmp_path):
+    """A root that is not there, a single file as the root, and a file that goes between listing and reading."""
+    assert [(r.status, "no such" in r.error) for r in corpus.read_corpus(spark, str(tmp_path / "none")).collect()] == [("Error", True)]
+    (tmp_path / "one.py").write_text("x = 1")
+    assert [r.content for r in corpus.read_corpus(spark, str(tmp_path / "one.py")).collect()] == ["x = 1"]
+    late = corpus.read_corpus(spark, str(tmp_path))
+    (tmp_path / "one.py").rename(tmp_path / "two.py")
+    assert [(r.file_name, r.status, r.content) for r in late.collect()] == [("one.py", "Error", None)]
+    (tmp_path / "bare").mkdir()
+    assert corpus.read_corpus(spark, str(tmp_path / "bare")).count() == 0
+
+
+def test_corpus_is_listed_and_dealt_by_tasks(spark, tmp_path, monkeypatch):
+    for i in range(40):
+        (tmp_path / f"d{i % 5}" / f"e{i % 3}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"d{i % 5}" / f"e{i % 3}" / f"f{i}.py").write_text(f"x = {i}\n" * 200)
+    monkeypatch.setattr(corpus, "BUDGET", 10 * corpus.OPENING)
+    df = corpus.read_corpus(spark, str(tmp_path))
+    assert sorted(r.content[:8].strip() for r in df.collect()) == sorted(f"x = {i}\nx "[:8].strip() for i in range(40))
+    assert df.select(F.spark_partition_id()).distinct().count() >= 4
+    index = corpus._by_index(spark, str(tmp_path), ("py",), None)
+    assert index.count() == 40 and rows(index, "content") == rows(corpus._by_tasks(spark, str(tmp_path), ("py",), None), "content")
 
 
 def test_ground_truth_source(spark, tmp_path):
@@ -100,6 +133,61 @@ def test_ground_truth_source(spark, tmp_path):
     assert got == {"1": (None, True, []), "2": (4, False, ["s"])}
 
 
+def test_ground_truth_spellings_and_types(spark, tmp_path):
+    """Documents that differ in spelling and types lie in one folder; a file may hold a list; wrong members are null."""
+    (tmp_path / "a.json").write_text('[{"ID": 7, "FILES": [{"filename": "x.cs", "LineCount": "12", "issuecount": 2.0}]},\n {"id": "b", "Issues": [{"ID": 5, "linenumber": "n/a", "TAGS": ["t"], "extra": {"deep": [1]}}], "files": "none"}]')
+    (tmp_path / "b.json").write_text('{"issues": [{"id": "q", "isMandatory": false, "expecteddetectoragents": null}], "files": []}')
+    (tmp_path / "empty.json").write_text("\n")
+    files, issues = GT.read_ground_truth(spark, str(tmp_path))
+    assert rows(files, "dataset_id", "fileName", "lineCount", "issueCount") == [("7", "x.cs", 12, 2)]
+    got = {r.id: (r.dataset_id, r.lineNumber, r.tags, r.isMandatory, r.expectedDetectorAgents) for r in issues.collect()}
+    assert got == {"5": ("b", None, ["t"], True, []), "q": (None, None, None, False, [])}
+    (tmp_path / "c.json").write_text("{ not json")
+    with pytest.raises(Exception, match="no JSON"):
+        GT.read_ground_truth(spark, str(tmp_path))[1].collect()
+
+
+def test_ground_truth_is_read_once(spark, tmp_path):
+    """No pass over the input before the read: making the tables reads nothing, so a broken file fails only when rows are asked for."""
+    (tmp_path / "c.json").write_text("{ not json")
+    GT.read_ground_truth(spark, str(tmp_path))
+
+
+GT_FILES = "dataset_id string, fileName string, language string, content string, relativePath string, issueCount int, lineCount int"
+GT_ISSUES = ("dataset_id string, id string, fileName string, category string, description string, severity string, location string, lineNumber int, codeSnippet string, "
+             "expectedDetectorAgents array<string>, tags array<string>, isMandatory boolean, difficultyLevel string")
+
+
+def test_ground_truth_comes_back(spark, tmp_path):
+    files = [(d, f"f{i}.cs", "csharp", 'say "hi"\n\\ {é}', None, i, None) for i in range(9) for d in ("one", "two/ü:", None)] + [("files only", "z", None, "", "p", None, 3)]
+    issues = [("one", f"i{i}", None, "cat", "[,]}", "HIGH" if i % 2 else None, "x:1", i, "a\nb", ["s", "p"][:i % 3], None if i % 2 else ["t"], bool(i % 2), "easy") for i in range(7)] + [
+        ("issues only", "k", "f", "c", "d", "LOW", "l", None, None, [], None, True, None), (None, "n", None, "cat", None, "LOW", None, 1, None, [], [], False, None)]
+    f, i = spark.createDataFrame(files, GT_FILES).withColumn("more", F.lit(1)), spark.createDataFrame(issues, GT_ISSUES).repartition(3)
+
+    def all_of(df):
+        return sorted(map(repr, df.collect()))
+
+    for _ in range(2):  # a second write replaces the first for readers
+        GT.write_ground_truth(f.where("issueCount < 3 OR issueCount IS NULL"), i, str(tmp_path / "s"))
+        GT.write_ground_truth(f, i, str(tmp_path / "s"))
+        back = GT.read_ground_truth(spark, str(tmp_path / "s"))
+        assert all_of(back[0]) == all_of(f.drop("more")) and all_of(back[1]) == all_of(i)
+    heads = {(r.dataset_id, r.dimension, r.label): r.n for r in GT.read_statistics(spark, str(tmp_path / "s")).collect()}
+    assert heads["one", "total files", ""] == 9 and heads["one", "severity", "HIGH"] == 3 and heads["one", "language", "csharp"] == 36 and heads[None, "total issues", ""] == 1
+    GT.write_ground_truth(f.limit(0), i.limit(0), str(tmp_path / "none"))
+    assert GT.read_ground_truth(spark, str(tmp_path / "none"))[0].count() == 0
+
+
+def test_a_write_that_breaks_off_changes_nothing(spark, tmp_path):
+    f = spark.createDataFrame([("one", "f", "csharp", None, None, 1, 1)], GT_FILES)
+    i = spark.createDataFrame([], GT_ISSUES)
+    GT.write_ground_truth(f, i, str(tmp_path))
+    bad = f.withColumn("fileName", F.when(F.col("issueCount") == 1, F.raise_error(F.lit("broken"))))
+    with pytest.raises(Exception, match="broken"):
+        GT.write_ground_truth(bad, i, str(tmp_path))
+    assert rows(GT.read_ground_truth(spark, str(tmp_path))[0], "fileName") == [("f",)]
+
+
 def test_history(spark, tmp_path):
     s = spark.sql("SELECT * FROM VALUES (1L, TIMESTAMP_NTZ'2024-01-01 10:00:00'), (2L, TIMESTAMP_NTZ'2024-01-02 09:00:00'), (3L, TIMESTAMP_NTZ'2024-01-02 09:00:00') t(id, created_at)")
     f = spark.createDataFrame([(1, "a"), (3, "b"), (3, "c")], "session_id long, file_name string")
@@ -112,14 +200,50 @@ def test_history(spark, tmp_path):
     assert rows(kept, "id") == [(2,)] and kids.count() == 0
 
 
-def test_purge_rewrites_the_store(spark, tmp_path):
-    s = spark.sql("SELECT id, TIMESTAMP_NTZ'2024-01-01 10:00:00' + make_dt_interval(CAST(id AS INT)) AS created_at FROM range(6)")
+def stored(path):
+    return {p: p.stat().st_mtime_ns for p in path.rglob("*.parquet") if "data" in p.parts}
+
+
+def test_purge_writes_only_the_days_that_lose_rows(spark, tmp_path):
+    s = spark.sql("SELECT id, TIMESTAMP_NTZ'2024-01-01 10:00:00' + make_dt_interval(CAST(id DIV 2 AS INT)) AS created_at FROM range(12)")
     H.append_session(s, str(tmp_path / "s"))
     H.append_session(s.select(F.col("id").alias("session_id"), "created_at", F.lit("f").alias("file_name")), str(tmp_path / "f"))
-    paths = H.purge_store(spark, str(tmp_path / "s"), str(tmp_path / "f"), str(tmp_path / "v1"), cutoff="2024-01-03", session_id=4)
-    kept, kids = (H.read_sessions(spark, p) for p in paths)
-    assert rows(kept, "id") == [(2,), (3,), (5,)] and rows(kids, "session_id") == [(2,), (3,), (5,)]
-    assert sorted(p.name for p in (tmp_path / "v1" / "sessions").iterdir() if p.is_dir()) == ["created_date=2024-01-03", "created_date=2024-01-04", "created_date=2024-01-06"]
+    before = stored(tmp_path)
+    assert H.purge_store(spark, str(tmp_path / "s"), str(tmp_path / "f"), session_id=4) == (1, 1)
+    kept, kids = (H.read_sessions(spark, str(tmp_path / p)) for p in "sf")
+    left = [(i,) for i in range(12) if i != 4]
+    assert rows(kept, "id") == rows(kids, "session_id") == left and kept.columns == ["id", "created_at", "created_date"]
+    after = stored(tmp_path)
+    assert all(after[p] == t for p, t in before.items()) and len(after) == len(before) + 2  # one new file in each store
+    opened = [f.replace("%20", " ") for f in H._stored(spark, str(tmp_path / "s")).select("id").inputFiles()]
+    assert len(opened) >= 6
+    # whole days go: nothing is written for them but the log
+    assert H.purge_store(spark, str(tmp_path / "s"), str(tmp_path / "f"), cutoff="2024-01-03") == (2, 2)
+    assert rows(H.read_sessions(spark, str(tmp_path / "s")), "id") == [(i,) for i in range(5, 12)]
+    assert H.purge_store(spark, str(tmp_path / "s"), str(tmp_path / "f"), session_id=99) == (0, 0)
+    H.append_session(s.where("id = 4"), str(tmp_path / "s"))  # a later append of the same day counts
+    assert rows(H.read_sessions(spark, str(tmp_path / "s")), "id") == [(i,) for i in range(4, 12)]
+    assert rows(H.read_sessions(spark, str(tmp_path / "s"), version=1), "id") == [(i,) for i in range(12)]
+
+
+def test_a_purge_that_broke_off_is_finished_by_the_next(spark, tmp_path, monkeypatch):
+    s = spark.sql("SELECT id, TIMESTAMP_NTZ'2024-01-01 10:00:00' + make_dt_interval(CAST(id AS INT)) AS created_at FROM range(4)")
+    H.append_session(s, str(tmp_path / "s"))
+    H.append_session(s.select(F.col("id").alias("session_id"), "created_at"), str(tmp_path / "f"))
+    real, calls = H.versions.commit, []
+
+    def commit(spark, root, ops):
+        calls.append(root)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return real(spark, root, ops)
+
+    monkeypatch.setattr(H.versions, "commit", commit)
+    with pytest.raises(RuntimeError):
+        H.purge_store(spark, str(tmp_path / "s"), str(tmp_path / "f"), session_id=2)
+    assert rows(H.read_sessions(spark, str(tmp_path / "s")), "id") == [(0,), (1,), (2,), (3,)]
+    H.purge_store(spark, str(tmp_path / "s"), str(tmp_path / "f"), session_id=2)
+    assert rows(H.read_sessions(spark, str(tmp_path / "s")), "id") == rows(H.read_sessions(spark, str(tmp_path / "f")), "session_id") == [(0,), (1,), (3,)]
 
 
 def stream_of(spark, tmp_path, df):
