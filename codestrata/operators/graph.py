@@ -194,29 +194,93 @@ def file_impact(nodes: DataFrame, edges: DataFrame, cyclic_files: DataFrame) ->
 
 
 # --- cycles ---------------------------------------------------------------------
-def _trim(edges: DataFrame) -> DataFrame:
-    """Drop edges that cannot lie on a cycle (end without an exit, start without an entry)."""
+def _trim_once(edges: DataFrame) -> DataFrame:
+    """Drop edges that cannot lie on a cycle: their end has no exit, or their start no entry."""
+    kept = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+    return kept.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
+
+
+def _follow(step: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lists by pointer doubling: ``step`` (node, next) where ``next`` is null at a list's end.
+
+    Returns (node, last, hops) for lists that end, and (node, label) for rings, named by their smallest node.
+    Each round doubles how far every node sees, so rounds grow with the logarithm of the longest list.
+    """
+    far = written(step.select("node", F.coalesce("next", "node").alias("to"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("bigint").alias("hops"),
+                              F.least("node", F.coalesce("next", "node")).alias("least"), F.col("next").isNull().alias("ended")))
+    open_, before = far.where("NOT ended").count(), None
+    while open_:
+        nxt = far.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("hops").alias("hops2"), F.col("least").alias("least2"), F.col("ended").alias("ended2"))
+        far = written(far.join(nxt, "to").select("node", F.col("to2").alias("to"), (F.col("hops") + F.col("hops2")).alias("hops"), F.least("least", "least2").alias("new"), "least", "ended2")
+                      .select("node", "to", "hops", F.col("new").alias("least"), F.col("ended2").alias("ended"), (F.col("new") != F.col("least")).alias("moved")))
+        now = far.where("NOT ended").agg(F.count("*"), F.count_if("moved")).first()
+        far = far.drop("moved")
+        if (now[0], 0) == (before, now[1]):  # what is left neither ends nor learns of smaller nodes: rings
+            break
+        open_ = before = now[0]
+    return far.where("ended").select("node", F.col("to").alias("last"), "hops"), far.where("NOT ended").select("node", F.col("least").alias("label"))
+
+
+def _inner(edges: DataFrame) -> DataFrame:
+    """(node, next) of the nodes with one way in and one way out."""
+    ways = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("out"), F.col("dst").alias("next")),
+                                          F.struct(F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(None).cast(edges.schema["dst"].dataType).alias("next")))).alias("w"))
+    ways = ways.groupBy("w.node").agg(F.sum("w.out").alias("out"), F.sum(1 - F.col("w.out")).alias("into"), F.max("w.next").alias("next"))
+    return ways.where("out = 1 AND into = 1").select("node", "next")
+
+
+def _contract(edges: DataFrame, inner: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fold chains of ``inner`` nodes: (edges between the other nodes, chain members, rings).
+
+    A chain becomes one edge from the node before it (``src``) to the node after it (``dst``). Members are
+    (node, src, dst); rings are (node, label).
+    """
+    names = inner.select(F.col("node").alias("next"), F.lit(True).alias("also"))
+    ended, rings = _follow(inner.join(names, "next", "left").select("node", F.when(F.col("also"), F.col("next")).alias("next")))
+    after = ended.where("hops = 0").select("last").join(inner.toDF("last", "after"), "last")
+    is_inner = inner.select(F.col("node").alias("dst"), F.lit(True).alias("inner_dst"))
+    outer = edges.join(inner.select(F.col("node").alias("src")), "src", "left_anti").join(is_inner, "dst", "left")
+    heads = written(outer.where("inner_dst").select("src", F.col("dst").alias("node")).join(ended.select("node", "last"), "node").join(after, "last").select("last", "src", F.col("after").alias("dst")))
+    members = ended.select("node", "last").join(heads, "last").select("node", "src", "dst")
+    folded = outer.where("inner_dst IS NULL").select("src", "dst").unionByName(heads.select("src", "dst")).distinct()
+    return written(folded), members, rings
+
+
+def _reduce(edges: DataFrame) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """Trim and fold while that takes a tenth of the edges away: (edges that are left, chain members by round, rings).
+
+    A chain of any length is folded in one round; what little a further round would take is labelled like the rest.
+    """
+    chains, rings = [], []
     n = edges.count()
     while n:
-        kept = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        kept = written(kept.join(kept.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
-        m = kept.count()
-        if m == n:
-            return kept
-        edges, n = kept, m
-    return edges
+        edges = written(_trim_once(edges))
+        inner = written(_inner(edges))
+        if not inner.isEmpty():
+            edges, members, ring = _contract(edges, inner)
+            chains.append(members)
+            rings.append(ring)
+        m = edges.count()
+        if 10 * m > 9 * n:
+            break
+        n = m
+    return edges, chains, rings
 
 
 def cycle_members(edges: DataFrame) -> DataFrame:
     """Nodes on any cycle with their strongly connected component (named by its smallest node).
 
-    Forward minimum labels, then a backward walk from each label's owner: linear work per
-    round, labels pre-aggregated per node, so a hub node is a partial aggregate and not a group.
+    Chains and rings are folded first, by pointer doubling, so a long chain costs its logarithm in rounds. What is
+    left is labelled: forward minimum labels, then a backward walk from each label's owner, in rounds of work
+    linear in the edges; labels pre-aggregate per node, so a hub node is no group in one task.
     """
     spark = edges.sparkSession
-    left = _trim(written(edges.select("src", "dst").where("src <> dst").distinct()))
-    found = spark.createDataFrame([], "node string, component string")
-    while left.count():
+    nodes = {f.name: f.dataType for f in edges.schema.fields}["src"].simpleString()
+    left, chains, rings = _reduce(written(edges.select("src", "dst").where("src <> dst").distinct()))
+    found = spark.createDataFrame([], f"node {nodes}, component {nodes}")
+    for ring in rings:
+        found = found.unionByName(ring.select("node", F.col("label").alias("component")))
+    while not left.isEmpty():
         labels = written(left.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("label", F.col("node")))
         while True:
             sent = left.join(labels, left["src"] == labels["node"]).select(F.col("dst").alias("node"), "label")
@@ -237,35 +301,58 @@ def cycle_members(edges: DataFrame) -> DataFrame:
             if grown == size:
                 break
             size = grown
-        real = member.join(member.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label"), "label", "left_semi")
-        found = found.unionByName(real.select("node", F.col("label").alias("component")))
+        # a node alone is on a cycle only where a folded chain leads back to it
+        alone = member.join(member.groupBy("label").agg(F.count("*").alias("n")).where("n = 1").select("label"), "label", "left_semi")
+        loops = left.where("src = dst").select(F.col("src").alias("node"))
+        found = written(found.unionByName(member.join(alone.join(loops, "node", "left_anti").select("node"), "node", "left_anti").select("node", F.col("label").alias("component"))))
         gone = member.select("node")
-        left = _trim(written(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(
-            gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")))
-    return found
+        rest, more, ring = _reduce(written(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")))
+        left, chains = rest, chains + more
+        for r in ring:
+            found = found.unionByName(r.select("node", F.col("label").alias("component")))
+    # a chain lies in a component where both its ends do; chains folded last are unfolded first
+    for members in reversed(chains):
+        a, b = found.toDF("src", "component"), found.toDF("dst", "other")
+        inner = members.join(a, "src").join(b, "dst").where("component = other").select("node", "component")
+        found = written(found.unionByName(inner))
+    least = found.groupBy("component").agg(F.min("node").alias("least"))
+    return found.join(least, "component").select("node", F.col("least").alias("component"))
+
+
+def _ring_ways(member: DataFrame, e: DataFrame) -> DataFrame:
+    """(component, path) of the components that are one ring each, by list ranking; ``e``: component, src, dst."""
+    per = e.groupBy("component").agg(F.count("*").alias("n_edges"))
+    ring = member.groupBy("component").agg(F.count("*").alias("n_nodes")).join(per, "component").where("n_edges = n_nodes").select("component")
+    step = e.join(ring, "component", "left_semi").where("dst <> component")  # cut before the smallest node: a list that begins there
+    last = e.join(ring, "component", "left_semi").where("dst = component").select(F.col("src").alias("node"), F.lit(None).cast(e.schema["dst"].dataType).alias("next"))
+    ended, _ = _follow(step.select(F.col("src").alias("node"), F.col("dst").alias("next")).unionByName(last))
+    place = ended.join(member, "node").groupBy("component").agg(F.array_sort(F.collect_list(F.struct((-F.col("hops")).alias("at"), "node"))).alias("p"))
+    return place.select("component", F.concat("p.node", F.array("component")).alias("path"))  # the answer itself lists the ring
 
 
 def cycles(edges: DataFrame) -> DataFrame:
     """One row per strongly connected component: its size and one shortest cycle through its smallest node.
 
-    A walk in levels from the smallest node of every component at once. A node is reached once, by its
-    smallest parent, and only the current level carries its way, so the work is linear in the edges and a
-    cycle may have any length. Of several shortest cycles the one with the smallest nodes, read from its
-    end, is given.
+    A component that is one ring is read off by list ranking. For the others, a walk in levels from the smallest
+    node of every component at once: a node is reached once, by its smallest parent, only the current level
+    carries its way, and what was reached is one table. Of several shortest cycles the one with the
+    smallest nodes, read from its end, is given.
     """
     member = written(cycle_members(edges))
     a, b = member.toDF("src", "component"), member.toDF("dst", "other")
     e = written(edges.select("src", "dst").where("src <> dst").distinct().join(a, "src").join(b, "dst").where("component = other").select("component", "src", "dst"))
-    front = member.where("node = component").select("component", "node", F.array("node").alias("path"))
-    seen, out = front.select("component", "node"), front.limit(0)
+    out = written(_ring_ways(member, e)).withColumnRenamed("component", "c")
+    front = member.where("node = component").join(out, member["component"] == out["c"], "left_anti").select("component", "node", F.array("node").alias("path"))
+    out = out.select(F.col("c").alias("component"), F.col("c").alias("node"), "path")
+    seen = front.select("component", "node")
     while not front.isEmpty():
         step = front.withColumnRenamed("node", "src").join(e, ["component", "src"])
         step = step.groupBy("component", "dst").agg(F.min(F.struct("src", "path")).alias("from"))
-        step = step.select("component", F.col("dst").alias("node"), F.concat("from.path", F.array("dst")).alias("path"))
+        step = written(step.select("component", F.col("dst").alias("node"), F.concat("from.path", F.array("dst")).alias("path")))
         closed = step.where("node = component")
         out = out.unionByName(closed)
         front = written(step.join(closed.select("component"), "component", "left_anti").join(seen, ["component", "node"], "left_anti"))
-        seen = seen.unionByName(front.select("component", "node"))
+        seen = written(seen.unionByName(front.select("component", "node")))
     size = member.groupBy("component").agg(F.count("*").alias("n_members"))
     n = F.size("path") - 1
     return out.join(size, "component").select("component", "n_members", F.array_join("path", " -> ").alias("cycle"), n.alias("n_nodes"),
@@ -278,7 +365,11 @@ def short_cycles(edges: DataFrame, max_len: int) -> DataFrame:
     A listing that the caller bounds: the number of cycles grows with the power of the length. Paths start
     at the smallest member and only visit larger nodes, so each cycle is found once.
     """
-    e = _trim(written(edges.select("src", "dst").where("src <> dst").distinct()))
+    e = written(edges.select("src", "dst").where("src <> dst").distinct())
+    n, m = None, e.count()
+    while n != m:
+        e, n = written(_trim_once(e)), m
+        m = e.count()
     paths = e.where("src < dst").select(F.col("src").alias("start"), F.array("src", "dst").alias("path"), F.col("dst").alias("last"))
     out = None
     for _ in range(2, max_len + 1):

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from codestrata.data.rules import Rule, SECURITY
@@ -134,3 +136,65 @@ def test_peer_pairs_and_contradictions(spark):
                               "finding_id int, category string, severity string, location string, evidence array<string>")
     assert rows(G.contradictions(f), "key", "n_pairs") == [("A:1", 1), ("k", 1)]
     assert rows(G.contradicted(f)) == [(1,), (2,), (5,), (6,)]
+
+
+def reach(edges):
+    out = {}
+    for a in {x for e in edges for x in e}:
+        seen, todo = set(), [a]
+        while todo:
+            for x, y in edges:
+                if x == todo[-1] and y not in seen:
+                    seen.add(y)
+                    todo.insert(0, y)
+            todo.pop()
+        out[a] = seen
+    return out
+
+
+def many_graphs(rng):
+    """Small graphs side by side: rings, chains into and out of rings, chains between nodes of one component and of two, folded loops, repeated edges."""
+    out = []
+    for g in range(70):
+        n = rng.randint(2, 9)
+        for _ in range(rng.randint(1, 2 * n)):
+            out.append((g, rng.randrange(n), rng.randrange(n)))
+        a, b, k = rng.randrange(n), rng.randrange(n), rng.randint(1, 6)
+        way = [a, *range(100, 100 + k), b]
+        out += [(g, x, y) for x, y in zip(way, way[1:])]
+    return [(f"g{g:02}n{x:03}", f"g{g:02}n{y:03}") for g, x, y in out]
+
+
+def test_cycles_of_many_graphs_equal_brute_force(spark):
+    edges = many_graphs(random.Random(41))
+    far = {}
+    for g in {a[:3] for a, _ in edges}:
+        far |= reach([e for e in edges if e[0][:3] == g and e[0] != e[1]])
+    want = {a: min(b for b in far[a] if a in far[b]) for a in far if a in far[a]}
+    e = spark.createDataFrame(edges, "src string, dst string").repartition(3)
+    assert dict(rows(G.cycle_members(e))) == want
+    steps = {}
+    for a, b in edges:
+        steps.setdefault(a, set()).add(b)
+    for r in G.cycles(e).collect():
+        way = r.cycle.split(" -> ")
+        assert way[0] == way[-1] == r.component and len(set(way)) == len(way) - 1 == r.n_nodes
+        assert all(b in steps[a] for a, b in zip(way, way[1:])) and r.n_members == sum(c == r.component for c in want.values())
+        level, n = {r.component}, 0  # the least number of steps that lead back
+        while True:
+            level, n = {y for x in level for y in steps.get(x, ()) if x != y}, n + 1
+            if r.component in level:
+                break
+        assert n == r.n_nodes
+
+
+def test_a_ring_of_many_nodes_takes_few_rounds(spark, monkeypatch):
+    """Rounds grow with the logarithm: a ring of 30,000 nodes with a tail of 10,000 on either side."""
+    n, wrote, real = 30_000, [], G.written
+    monkeypatch.setattr(G, "written", lambda df: wrote.append(1) or real(df))
+    ring = spark.range(n).selectExpr("format_string('r%06d', id) AS src", f"format_string('r%06d', (id + 1) % {n}) AS dst")
+    tails = spark.range(10_000).selectExpr("format_string('a%06d', id) AS src", "CASE WHEN id = 9999 THEN 'r000007' ELSE format_string('a%06d', id + 1) END AS dst").unionByName(
+        spark.range(10_000).selectExpr("CASE WHEN id = 0 THEN 'r000011' ELSE format_string('z%06d', id) END AS src", "format_string('z%06d', id + 1) AS dst"))
+    got = G.cycle_members(ring.unionByName(tails))
+    assert got.count() == n and got.select("component").distinct().collect()[0][0] == "r000000"
+    assert len(wrote) < 60

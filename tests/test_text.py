@@ -1,3 +1,4 @@
+import random
 import re
 
 from hypothesis import given, settings, strategies as st
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codestrata.data import rules as R
 from codestrata.functions.hints import required_words
+from codestrata.functions import substr
 from codestrata.functions.substr import containing_pairs
 from codestrata.functions.text import detect_language, finds, has, low_text, normalise_text
 from codestrata.operators import screening as S
@@ -79,3 +81,26 @@ def test_containing_pairs_is_exact(spark):
     b = spark.createDataFrame([(p,) for p in pats], "p string")
     want = sorted((t, p) for t in texts for p in pats if p and p in t)
     assert rows(containing_pairs(a, "t", b, "p"), "t", "p") == want
+
+
+def test_containing_pairs_around_the_gram_length(spark):
+    """Patterns shorter and longer than a gram, signs beyond one byte, nulls, repeated rows and patterns of one family."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abé😀/") for _ in range(rng.randint(0, 18))) for _ in range(150)] + [None, "", "app/models/unit11", "app/models/unit1"]
+    pats = [t[i:i + n] for t in texts if t for i in (0, 3) for n in (1, 3, 5, 6, 7, 11) if len(t) >= i + n] + ["", None, "zzzzzzzz", "models/unit1", "models/unit11", "unit1"]
+    a = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(3)
+    b = spark.createDataFrame([(j, p) for j, p in enumerate(pats)], "j int, p string").repartition(3)
+    want = sorted((i, j) for i, t in enumerate(texts) for j, p in enumerate(pats) if t and p and p in t)
+    got = containing_pairs(a, "t", b, "p")
+    assert rows(got, "i", "j") == want and got.columns == ["i", "t", "j", "p"]
+    assert containing_pairs(a, "t", b.limit(0), "p").count() == containing_pairs(a.limit(0), "t", b, "p").count() == 0
+
+
+def test_containing_pairs_shuffles_in_proportion_to_the_text(spark):
+    """Many pattern lengths do not multiply what a text sends: about a row per character."""
+    a = spark.range(50).select(F.concat(F.lit("x" * 40), F.col("id").cast("string"), F.lit("abcdefghijklmnopqrstuvwxyz" * 2)).alias("t"))
+    b = spark.createDataFrame([("abcdefghijklmnopqrstuvwxyz"[i:j],) for i in range(20) for j in range(i + 6, 26)], "p string")
+    out = containing_pairs(a, "t", b, "p")
+    assert out.count() == 50 * b.count()
+    asked = a.select(F.size(F.array_distinct(substr._pieces(F.col("t"), F.lit(substr.GRAM)))).alias("n"), F.length("t").alias("chars"))
+    assert asked.where("n > chars").isEmpty()
