@@ -64,11 +64,12 @@ CSHARP = [
     _cs_god(),
     _cs_long(),
     _lines("using Shop.A;", "using Shop.B;", "using Shop.C;", "using Shop.D;", "using Shop.E;", "using Shop.F;",
-           "using Shop.G;", "using Shop.H;", "using Shop.I;", "namespace Shop.Tree", "{",
+           "using Shop.G;", "using Shop.H;", "using Shop.I;", "using Shop.J;", "using Shop.K;", "namespace Shop.Tree", "{",
+           "// " + " ".join(["Node"] * 13),
            "public class Node { }", "public class Branch : Node { }", "public class Twig : Branch { }",
            "public class Leaf : Twig { }", "public class Bud : Leaf { }", "public interface IGrow { }", "}"),
     _lines("using System;", "namespace Shop.Envy", "{", "public class Price", "{", "    public int Value { get; set; }", "}",
-           "public class Basket", "{",
+           "public class Helper { }", "public class Basket", "{",
            "    public int Total(int n)", "    {",
            "        var a = new Price(); var b = new Price(); var c = new Price(); var d = new Price();",
            "        var e = new Helper(); var f = new Price();",
