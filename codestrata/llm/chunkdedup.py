@@ -14,9 +14,11 @@ from .common import table, texts
 
 #: Mean bytes between cuts before short chunks merge; chunks of under ``LEAST`` bytes join the next one.
 MEAN, LEAST = 28, 8
-#: Bytes of repeated text in a row that are removed; shorter repeats are ordinary speech. A passage of
-#: fifty words has some 250 bytes at least.
+#: Bytes of whole repeated chunks in a row that are removed; shorter repeats are ordinary speech. A passage of
+#: fifty words has some 250 bytes at least, its whole chunks fewer.
 SPAN = 96
+#: The same where matches are drawn out byte by byte, so that a passage has its full length: some 35 words.
+PASSAGE = 192
 #: A single repeated chunk of so many bytes is looked at like two in a row; chunks at each end of a run whose
 #: first occurrences are compared; chunks around a first occurrence that are carried. A match that goes on
 #: over a whole chunk has the cuts of that chunk, once 16 bytes are equal, so it is in the run already.
@@ -196,7 +198,7 @@ def passages(data: bytes, chunks: list[tuple[int, int, int]], sides: dict[int, t
         while hi < len(data) and data[hi] & 0xC0 == 0x80:
             hi -= 1
         out.append((lo, hi))
-    return spans(out)
+    return spans(out, PASSAGE)
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +226,7 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     """doc_id, text without repeated passages, spans: like ``dedup_substrings``, but whole passages go.
 
     A run of two chunks (or one of ``ALONE`` bytes) is a candidate. Each end of it is compared byte by byte
-    with what stands around the first occurrence of its outer chunks; ``SPAN`` is judged after that. A byte
+    with what stands around the first occurrence of its outer chunks; ``PASSAGE`` is judged after that. A byte
     that goes always has an equal one earlier in (doc_id, hash of the text, place) order. Texts move
     for what stands around first occurrences and for the cut; Spark may reuse one exchange for both.
     """
