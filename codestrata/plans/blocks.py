@@ -29,9 +29,12 @@ VIEWS["v_blocks"] = "SELECT file_name, language, kind, name, coalesce(owner, '')
 
 
 def _of(types: bool):
-    is_type = F.col("kind").isin(TYPES)
-    return lambda s, d: block_symbols(V.nested_files(s, d)).where(is_type if types else ~is_type).select(
-        "file_name", "language", "kind", "name", F.coalesce("owner", F.lit("")).alias("owner"), "line", "end_line")
+    def rows(s, d):
+        is_type = F.col("kind").isin(TYPES)
+        return block_symbols(V.nested_files(s, d)).where(is_type if types else ~is_type).select(
+            "file_name", "language", "kind", "name", F.coalesce("owner", F.lit("")).alias("owner"), "line", "end_line")
+
+    return rows
 
 
 _in = ", ".join(map(lit, TYPES))
