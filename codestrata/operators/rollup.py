@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from ..data.advice import ADVICE, STEPS
 from ..data import rules as R
 from ..data.bands import BAND_SCHEMA, BANDS
 from ..functions.ordered import position, running
@@ -368,24 +369,8 @@ def recommend_project(projects: DataFrame, kind: str, cap: int = 6) -> DataFrame
     low = o <= SCORE_STEPS["critical"]
     ratio = F.when(F.col("classes") > 0, F.col("methods") / F.col("classes")).otherwise(0.0)
     large = F.col("files") > 25
-    advice = [
-        ("High complexity project requires dedicated migration team with senior architect oversight", high),
-        ("Implement phased migration approach to minimize business disruption and technical risk", high),
-        ("Establish comprehensive testing strategy before initiating modernization activities", high),
-        ("Moderate complexity project suitable for experienced development team", mid),
-        ("Plan structured migration timeline with 6-10 week implementation window", mid),
-        ("Implement code quality gates and automated testing during modernization", mid),
-        ("Low complexity project appropriate for standard development practices", low),
-        ("Excellent candidate for junior developer skill development and mentoring", low),
-        ("Consider as pilot project for establishing modernization best practices", low),
-        ("Large codebase requires automated testing and continuous integration before migration", large),
-        ("Implement code analysis tools and quality metrics tracking throughout modernization", large),
-        ("High method-to-class ratio indicates potential architectural refactoring opportunities", ratio > 8),
-    ]
-    if kind == "security":
-        advice.append(("Implement security code review process with focus on input validation and authentication", F.lit(True)))
-    elif kind == "performance":
-        advice.append(("Establish performance baselines and monitoring before optimization activities", F.lit(True)))
+    holds = {"high": high, "mid": mid, "low": low, "large": large, "ratio": ratio > 8, kind: F.lit(True)}
+    advice = [(text, holds[when]) for when, text in ADVICE if when in holds]
     return projects.select("project", F.posexplode(F.slice(chosen(advice), 1, cap)).alias("rank", "advice"))
 
 
@@ -393,21 +378,8 @@ def next_steps(impact: DataFrame, arch: DataFrame, cap: int = 6) -> DataFrame:
     r = F.col("impact_risk")
     high, mid, low = r == "HIGH", r == "MEDIUM", ~r.isin("HIGH", "MEDIUM")
     debt, untested = F.col("debt") > SCORE_STEPS["high"], F.col("test_coverage").contains("No test")
-    steps = [
-        ("URGENT: Schedule executive review meeting within 48 hours", high),
-        ("Assemble dedicated modernization team with senior architect", high),
-        ("Conduct detailed technical debt assessment", high),
-        ("Schedule architecture review meeting within 2 weeks", mid),
-        ("Assign experienced development team to project", mid),
-        ("Create detailed modernization roadmap", mid),
-        ("Include in next quarterly planning cycle", low),
-        ("Monitor for increasing complexity trends", low),
-        ("Apply standard development best practices", low),
-        ("Implement architectural refactoring program", debt),
-        ("Establish coding standards and review processes", debt),
-        ("Establish comprehensive testing strategy", untested),
-        ("Implement automated testing pipeline", untested),
-    ]
+    holds = {"HIGH": high, "MEDIUM": mid, "LOW": low, "debt": debt, "tests": untested}
+    steps = [(text, holds[when]) for when, text in STEPS]
     d = impact.select("project", "impact_risk").join(arch.select("project", "debt", "test_coverage"), "project")
     return d.select("project", F.posexplode(F.slice(chosen(steps), 1, cap)).alias("rank", "step"))
 

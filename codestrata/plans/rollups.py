@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..data.advice import ADVICE, STEPS
 from ..data import rules as R
 from ..data.bands import BANDS
 from ..functions.text import detect_language
@@ -261,33 +262,13 @@ def _recommend(s, d):
     return out
 
 
-_adv = [("high", "High complexity project requires dedicated migration team with senior architect oversight"),
-        ("high", "Implement phased migration approach to minimize business disruption and technical risk"),
-        ("high", "Establish comprehensive testing strategy before initiating modernization activities"),
-        ("mid", "Moderate complexity project suitable for experienced development team"),
-        ("mid", "Plan structured migration timeline with 6-10 week implementation window"),
-        ("mid", "Implement code quality gates and automated testing during modernization"),
-        ("low", "Low complexity project appropriate for standard development practices"),
-        ("low", "Excellent candidate for junior developer skill development and mentoring"),
-        ("low", "Consider as pilot project for establishing modernization best practices"),
-        ("large", "Large codebase requires automated testing and continuous integration before migration"),
-        ("large", "Implement code analysis tools and quality metrics tracking throughout modernization"),
-        ("ratio", "High method-to-class ratio indicates potential architectural refactoring opportunities"),
-        ("security", "Implement security code review process with focus on input validation and authentication"),
-        ("performance", "Establish performance baselines and monitoring before optimization activities")]
-_adv_rows = ", ".join(f"({i}, '{c}', {lit(t)})" for i, (c, t) in enumerate(_adv))
+_adv_rows = ", ".join(f"({i}, '{c}', {lit(t)})" for i, (c, t) in enumerate(ADVICE))
 register("recommend_project", _recommend, q(f"""
 SELECT project, rank - 1 AS rank, advice, kind FROM (SELECT p.project, k.kind, a.t AS advice, row_number() OVER (PARTITION BY p.project, k.kind ORDER BY a.i) AS rank
 FROM v_project p, (VALUES ('general'), ('security'), ('performance')) k(kind), (VALUES {_adv_rows}) a(i, c, t)
 WHERE CASE a.c WHEN 'high' THEN overall > 70 WHEN 'mid' THEN overall > 40 AND overall <= 70 WHEN 'low' THEN overall <= 40 WHEN 'large' THEN files > 25
   WHEN 'ratio' THEN classes > 0 AND methods / classes > 8 ELSE a.c = k.kind END) WHERE rank <= 6"""))
-_steps = [("HIGH", "URGENT: Schedule executive review meeting within 48 hours"), ("HIGH", "Assemble dedicated modernization team with senior architect"),
-          ("HIGH", "Conduct detailed technical debt assessment"), ("MEDIUM", "Schedule architecture review meeting within 2 weeks"),
-          ("MEDIUM", "Assign experienced development team to project"), ("MEDIUM", "Create detailed modernization roadmap"),
-          ("LOW", "Include in next quarterly planning cycle"), ("LOW", "Monitor for increasing complexity trends"), ("LOW", "Apply standard development best practices"),
-          ("debt", "Implement architectural refactoring program"), ("debt", "Establish coding standards and review processes"),
-          ("tests", "Establish comprehensive testing strategy"), ("tests", "Implement automated testing pipeline")]
-_step_rows = ", ".join(f"({i}, '{c}', {lit(t)})" for i, (c, t) in enumerate(_steps))
+_step_rows = ", ".join(f"({i}, '{c}', {lit(t)})" for i, (c, t) in enumerate(STEPS))
 register("next_steps", lambda s, d: U.next_steps(impact(s, d), arch(s, d)), q(f"""
 SELECT project, rank - 1 AS rank, step FROM (SELECT b.project, a.t AS step, row_number() OVER (PARTITION BY b.project ORDER BY a.i) AS rank
 FROM v_biz b JOIN v_arch r ON r.project = b.project, (VALUES {_step_rows}) a(i, c, t)
