@@ -9,8 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import cut_lineage
-from .common import table, texts
+from .common import table, texts, written
 
 #: Mean bytes between cuts before short chunks merge; chunks of under ``LEAST`` bytes join the next one.
 MEAN, LEAST = 28, 8
@@ -74,8 +73,11 @@ def _repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = docs.schema["doc_id"].dataType.simpleString()
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
     c = d.mapInArrow(_chunks, f"doc_id {kind}, version bigint, digest bigint, start int, end int")
-    # written once: the join then reads plain shuffles on both sides, which a very common chunk can be split in
-    first = cut_lineage(c.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "version", "start")).alias("first")).where("n > 1").drop("n"))
+    # Most chunks occur once: counting moves digests alone, and only what repeats is carried further. Each step is
+    # written, so joins read plain shuffles on both sides, which a very common chunk can be split in.
+    common = written(c.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
+    c = written(c.join(common, "digest", "left_semi"))
+    first = written(c.groupBy("digest").agg(F.min(F.struct("doc_id", "version", "start")).alias("first")))
     later = c.join(first, "digest").where(~F.struct("doc_id", "version", "start").eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "end", "digest")).alias("chunks")), first
 
@@ -232,8 +234,8 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     repeated, first = _repeated(docs)
-    repeated = cut_lineage(repeated)
-    edges = cut_lineage(repeated.mapInArrow(_edges, f"doc_id {kind}, version bigint, digest bigint"))
+    repeated = written(repeated)
+    edges = written(repeated.mapInArrow(_edges, f"doc_id {kind}, version bigint, digest bigint"))
     asked = first.join(edges.select("digest").distinct(), "digest").groupBy(F.col("first.doc_id").alias("id"), F.col("first.version").alias("version"))
     asked = asked.agg(F.collect_list(F.struct(F.col("first.start").alias("start"), "digest")).alias("asked"))
     at = docs["doc_id"].eqNullSafe(asked["id"]) & (F.xxhash64(docs["text"]) == asked["version"])
