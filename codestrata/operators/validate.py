@@ -13,6 +13,9 @@ FILE_IN_LOCATION = r"([\w\-_]+\.(cs|js|ts|py|java|cpp|h|cshtml|html|css|json|xml
 LINE_FORMS = [r"line\s+(\d+)", r":(\d+)", r"line\s+\d+\s*-\s*(\d+)"]
 WEIGHTS = (0.35, 0.35, 0.20, 0.10)
 
+#: Texts and words that meet a file's code at a time.
+PROBES = 512
+
 
 def file_of(location: Column) -> Column:
     return F.regexp_extract(location, jre(FILE_IN_LOCATION), 1)
@@ -30,15 +33,41 @@ def normal_code(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"/\*.*?\*/", ""))
 
 
-def _evidence_ok(content: Column, evidence: Column) -> Column:
-    def one(e: Column) -> Column:
-        n = F.lower(normal_code(e))
-        words = F.filter(F.split(n, " "), lambda w: w != "")
-        need = F.greatest(F.lit(1), F.floor(F.size(words) / 2))
-        hits = F.size(F.filter(words, lambda w: content.contains(w)))
-        return (F.trim(e) == "") | content.contains(n) | ((F.size(words) > 0) & (hits >= need))
+def _normal(evidence: Column) -> Column:
+    """Evidence as code is normalised; a missing text is an empty one."""
+    return F.transform(evidence, lambda e: F.lower(normal_code(F.coalesce(e, F.lit("")))))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, " "), lambda w: w != "")
+
+
+def _supported(evidence: Column, found: Column) -> Column:
+    """Every text is empty, found whole, or at least half of its words (rounded down, one at least) are found."""
+    def one(n: Column) -> Column:
+        words = _words(n)
+        hits = F.size(F.filter(words, lambda w: F.array_contains(found, w)))
+        return (n == "") | F.array_contains(found, n) | ((F.size(words) > 0) & (hits >= F.greatest(F.lit(1), F.floor(F.size(words) / 2))))
 
-    return F.forall(evidence, one)
+    return F.forall(_normal(evidence), one)
+
+
+def evidence_support(claims: DataFrame, code: DataFrame, per_block: int = PROBES) -> DataFrame:
+    """``claims``: file_key, evidence; ``code``: file_key, version, code. Gives file_key, version, evidence, supported.
+
+    What the claims about a file ask for, whole texts and words, is gathered without repeats and cut into blocks of
+    about ``per_block``. A block meets the file's code once and only what was found goes on, so code is never
+    copied to claims, and a file that most claims speak about is many blocks.
+    """
+    asked = F.array_distinct(F.flatten(F.transform(_normal(F.col("evidence")), lambda n: F.concat(F.array(n), _words(n)))))
+    c = claims.distinct().withColumn("probe", F.explode(F.filter(asked, lambda p: p != "")))
+    probes = c.select("file_key", "probe").distinct()
+    blocks = probes.groupBy("file_key").agg(F.ceil(F.count("*") / per_block).alias("n"))
+    blocks = probes.join(blocks, "file_key").withColumn("block", F.pmod(F.xxhash64("probe"), F.col("n")))
+    blocks = blocks.groupBy("file_key", "block").agg(F.collect_list("probe").alias("probes"))
+    hits = blocks.join(code, "file_key").select("file_key", "version", F.explode(F.filter("probes", lambda p: F.col("code").contains(p))).alias("probe"))
+    found = c.join(hits.distinct(), ["file_key", "probe"]).groupBy("file_key", "version", "evidence").agg(F.collect_set("probe").alias("found"))
+    return found.select("file_key", "version", "evidence", _supported(F.col("evidence"), F.col("found")).alias("supported"))
 
 
 def severity_fits(category: Column, severity: Column) -> Column:
@@ -51,16 +80,24 @@ def severity_fits(category: Column, severity: Column) -> Column:
 
 
 def validate_findings(findings: DataFrame, contents: DataFrame) -> DataFrame:
-    """``contents``: file_key, content. Files nobody speaks about are dropped before the join."""
+    """``contents``: file_key, content. Files nobody speaks about are dropped before the join.
+
+    Findings meet the number of lines and the verdict on their evidence; code meets blocks of words.
+    """
     f = findings.withColumn("file_key", file_of(F.col("location"))).withColumn("named", lines_of(F.col("location")))
+    f = f.withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
     spoken = f.select("file_key").where("file_key <> ''").distinct()
-    c = contents.join(spoken, "file_key", "left_semi").select(
-        "file_key", F.size(F.split("content", r"\r\n|\r|\n", -1)).alias("n_lines"), F.lower(normal_code(F.col("content"))).alias("code"))
-    d = f.join(c, "file_key", "left")
+    c = contents.join(spoken, "file_key", "left_semi").withColumn("version", F.xxhash64("content"))
+    slim = c.select("file_key", "version", F.size(F.split("content", r"\r\n|\r|\n", -1)).alias("n_lines"))
+    code = c.dropDuplicates(["file_key", "version"]).select("file_key", "version", F.lower(normal_code(F.col("content"))).alias("code"))
+    claims = f.where((F.col("file_key") != "") & (F.size("evidence") > 0)).select("file_key", "evidence")
+    d = f.join(slim, "file_key", "left").join(evidence_support(claims, code), ["file_key", "version", "evidence"], "left")
     has = F.col("n_lines").isNotNull()
     in_range = F.forall("named", lambda n: (n >= 1) & (n <= F.col("n_lines")))
     d = d.withColumn("line_valid", has & ((F.size("named") == 0) | in_range))
-    d = d.withColumn("evidence_present", has & (F.size("evidence") > 0) & _evidence_ok(F.col("code"), F.col("evidence")))
+    # claims of which nothing was found are not in the verdicts; those that ask for nothing hold
+    holds = F.coalesce("supported", _supported(F.col("evidence"), F.array().cast("array<string>")))
+    d = d.withColumn("evidence_present", has & (F.size("evidence") > 0) & holds)
     d = d.withColumn("severity_fits", severity_fits(F.col("category"), F.col("severity")))
     failed = has & (F.size("named") > 0) & ~in_range
     warned = ~has | (F.size("named") == 0) | ~F.col("line_valid") | ~F.col("evidence_present") | ~F.col("severity_fits")

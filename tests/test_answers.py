@@ -1,3 +1,6 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from codestrata.operators import parse as P, validate as VD
@@ -67,6 +70,38 @@ def test_validation(spark):
     assert got == {1: "Validated", 2: "Failed", 3: "LowConfidence", 4: "LowConfidence", 5: "LowConfidence", 6: "Validated", 7: "LowConfidence", 8: "Validated"}
 
 
+def test_evidence_blocks_equal_a_plain_search(spark):
+    r = random.Random(3)
+    words = ["alpha", "beta", "gamma", "x", "return", "if", "zeta", "omega"]
+    files = [(f"f{i}.cs", " ".join(r.choices(words[:5], k=12)) + ("\n// " + "zeta" if i % 2 else "")) for i in range(6)]
+    files += [("f0.cs", "omega omega"), ("f1.cs", files[1][1])]  # two texts under one key, one text twice
+    claims = []
+    for i in range(300):  # a third speaks about one file
+        ev = [" ".join(r.choices(words, k=r.randrange(1, 5))) for _ in range(r.randrange(0, 4))]
+        ev += [[], [""], [None], ["// note"]][i % 4] if i % 3 == 0 else []
+        claims.append((i, "Other", "LOW", f"f{0 if r.random() < 0.34 else r.randrange(1, 8)}.cs:1", ev if i % 29 else None))
+
+    def plain(t):
+        return re.sub(r"/\*.*?\*/", "", re.sub(r"//.*$", "", re.sub(r"\s+", " ", t))).strip().lower()
+
+    def holds(code, e):
+        n = plain(e or "")
+        ws = n.split()
+        return n in code or bool(ws) and sum(w in code for w in ws) >= max(1, len(ws) // 2)
+
+    want = []
+    for i, _, _, loc, ev in claims:
+        texts = [plain(t) for k, t in files if k == loc[:-2]] or [None]
+        want += [(i, c is not None and bool(ev) and all(holds(c, e) for e in ev)) for c in texts]
+    f = spark.createDataFrame(claims, "finding_id int, category string, severity string, location string, evidence array<string>")
+    d = spark.createDataFrame(files, "file_key string, content string")
+    assert rows(VD.validate_findings(f, d), "finding_id", "evidence_present") == sorted(want)
+    code = spark.createDataFrame([(k, i, plain(t)) for i, (k, t) in enumerate(files[:6])], "file_key string, version int, code string")
+    asked = f.select(VD.file_of(F.col("location")).alias("file_key"), "evidence").where(F.size("evidence") > 0)
+    small, large = (rows(VD.evidence_support(asked, code, n).select("file_key", F.col("evidence").cast("string").alias("e"), "supported")) for n in (2, 512))
+    assert small == large and {x[2] for x in small} == {True, False}
+
+
 def test_confidence_and_triage(spark):
     d = spark.createDataFrame([([150, -5, 50, 50], 0), ([50, 50, 50, 50], None), ([1, 2, 3, 4], 130)], "parts array<int>, score int")
     # 100*.35 + 0 + 10 + 5 = 50
