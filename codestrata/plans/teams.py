@@ -57,6 +57,19 @@ SELECT request_id, agent, count(*) OVER w AS calls, min(ts_ms) OVER w AS oldest,
 WINDOW w AS (PARTITION BY agent ORDER BY ts_ms RANGE BETWEEN 60000 PRECEDING AND CURRENT ROW)"""
 register("throttle_status", lambda s, d: Q.throttle_status(V.requests(s, d)),
          q("SELECT request_id, agent, calls, calls >= 20 AS is_throttled, CASE WHEN calls >= 20 THEN greatest(0, 60000 - (ts_ms - oldest)) ELSE 0 END AS wait_ms FROM v_throttle"))
+
+
+def _throttle_live(s, d):
+    schema = s.read.parquet(f"{d}/events.parquet").schema
+    stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    with live.rocksdb(s):
+        return live.run_available(live.throttle_live(V.shape_requests(stream)))
+
+
+# what the watermark has not passed at the end of the stream is not final yet
+register("throttle_live", _throttle_live, q("""
+SELECT request_id, agent, calls, calls >= 20 AS is_throttled, CASE WHEN calls >= 20 THEN greatest(0, 60000 - (ts_ms - oldest)) ELSE 0 END AS wait_ms
+FROM v_throttle WHERE ts_ms < (SELECT max(ts_ms) - 60000 FROM v_requests)"""))
 # the log is replayed row by row, one recursion step per position in its key
 VIEWS["v_rl_rows"] = "SELECT client, ts_ms, request_id, row_number() OVER (PARTITION BY client ORDER BY ts_ms, request_id) AS rn FROM v_requests"
 VIEWS["v_rl"] = """

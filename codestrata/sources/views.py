@@ -242,7 +242,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return shape_requests(table(spark, sf_dir, "events"))
+
+
+def shape_requests(e: DataFrame) -> DataFrame:
+    """The projection alone: also serves a stream of events."""
     # time is compressed so that one minute holds several events
     micros = F.timestamp_diff("MICROSECOND", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
     offset_ms = F.floor(micros / 600000)

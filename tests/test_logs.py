@@ -280,3 +280,33 @@ def test_reuse_stream_equals_batch(spark, tmp_path):
                    F.lit(7).cast("long").alias("input_tokens"), F.col("request_id").alias("output_tokens"))
     want = rows(Q.reuse_outcomes(df, 3), "request_id", "hit", "saved_tokens", "saved_nano")
     assert any(r[1] for r in want) and rows(live.run_available(live.reuse_stream(stream_of(spark, tmp_path, df))), "request_id", "hit", "saved_tokens", "saved_nano") == want
+
+
+def test_throttle_live_equals_batch_out_of_order(spark, tmp_path):
+    r, data, t = random.Random(5), [], 10**12
+    for i in range(600):
+        t += r.choice([0, 0, 700, 2500, 59_000 if r.random() < 0.02 else 1500])
+        data.append((i, "a" if r.random() < 0.34 else r.choice(["b", "c", None]), t))
+    last = t
+    # rows arrive up to 90 seconds late, in many small files of one trigger each
+    arriving = sorted(data, key=lambda x: x[2] + r.randrange(90_000))
+    schema = "request_id long, agent string, ts_ms long"
+    for n in range(12):
+        part = spark.createDataFrame(arriving[n * 50:n * 50 + 50] + ([(900, "a", None)] if n == 3 else []), schema)
+        part.withColumn("ts", F.timestamp_millis("ts_ms")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema + ", ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    cols = ["request_id", "agent", "calls", "is_throttled", "wait_ms"]
+    got = live.run_available(live.throttle_live(stream, "91 seconds", limit=8))
+    want = Q.throttle_status(spark.createDataFrame(data, schema), limit=8).join(
+        spark.createDataFrame(data, schema).select("request_id", "ts_ms"), "request_id").where(F.col("ts_ms") < last - 91_000)
+    assert sorted(map(str, got.select(*cols).collect())) == sorted(map(str, want.select(*cols).collect()))
+    assert want.where("is_throttled").count() > 20 and want.where("not is_throttled").count() > 20
+
+
+def test_throttle_live_drops_what_is_too_late(spark, tmp_path):
+    # the watermark that a batch sets holds for lateness from the batch after the next one on
+    schema = "request_id long, agent string, ts_ms long"
+    for part in ([(1, "a", 600_000)], [(2, "a", 900_000)], [(5, "b", 900_000)], [(3, "a", 600_001)], [(4, "a", 2_000_000)]):
+        spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_millis("ts_ms")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema + ", ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    assert rows(live.run_available(live.throttle_live(stream, "1 minute")), "request_id", "calls") == [(1, 1), (2, 1), (5, 1)]
