@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import table
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: A line end inside a role, whose line it would end.
+BREAK = "<|n|>"
 LEARNED = "assistant"
 #: Characters in a part of a conversation; rows of a batch of answers.
 PART, ROWS = 1 << 20, 4096
@@ -45,25 +47,21 @@ def parse(rendered: str) -> list[tuple[str, str]]:
         role, text = rendered[at + len(START):line], rendered[line + 1:end]
         if START in role or START in text:
             raise ValueError(f"a turn begins inside the turn at {at}")
-        out.append((unescape(role), unescape(text)))
+        out.append((unescape(role.replace(BREAK, "\n")), unescape(text)))
         at = end + len(END) + 1
     return out
 
 
 def render(role: str, text: str) -> tuple[str, int, int]:
-    """A turn that parses back to itself: escaped only if it does not as it is."""
-    for tried in (segment(role, text), segment(role, escape(text)), segment(escape(role), text), segment(escape(role), escape(text))):
+    """A turn that parses back to itself: escaped only if it does not as it is. In an escaped role ``BREAK`` is a line end."""
+    marked = escape(role).replace("\n", BREAK)
+    for tried in (segment(role, text), segment(role, escape(text)), segment(marked, text), segment(marked, escape(text))):
         try:
             if parse(tried[0]) == [(role, text)]:
                 return tried
         except ValueError:
             continue
-    raise ValueError("a role must not hold a line end")
-
-
-def _one_line(role: str | None) -> str:
-    """Roles are one line: line ends become blanks."""
-    return " ".join((role or "").split("\n"))
+    raise ValueError("a turn that cannot be marked")  # not reached: the last form parses back whatever it holds
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +83,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ready.append(done(now))
                 out, spans, turns, at = [], [], 0, 0
             now, some = conv, True
-            role = _one_line(role)
+            role = role or ""
             s, a, z = render(role, text or "")
             if role == LEARNED:
                 spans.append({"start": at + a, "end": at + z})
@@ -108,7 +106,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, formatted, loss_spans (code points of the learned texts in ``formatted``).
 
     Rows of a conversation by turn, then role and text; null role and text count as empty; a line end in
-    a role becomes a blank; rows without conv_id form one conversation; equal rows are as many turns; an
+    a role is marked and comes back; rows without conv_id form one conversation; equal rows are as many turns; an
     empty table gives an empty result; other columns are not read. A task reads the turns of its
     conversations in order and holds one conversation at a time, which must fit into one cell: where
     conversations may be larger than that, take ``format_parts``.
@@ -130,7 +128,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for conv, role, text in zip(*[b.column(i) for i in range(3)]):
-            conv, role, text = conv.as_py(), _one_line(role.as_py()), text.as_py() or ""
+            conv, role, text = conv.as_py(), role.as_py() or "", text.as_py() or ""
             s, a, z = render(role, text)
             if some and conv != now:
                 yield done()
@@ -218,6 +216,6 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(24 + length(role) + length(text) + escapes) AS BIGINT) AS formatted_chars
+       CAST(sum(24 + length(role) + length(text) + escapes + CASE WHEN contains(role, chr(10)) THEN 4 * (length(role) - length(replace(role, chr(10), ''))) + len(regexp_extract_all(role, '<\\*\|')) ELSE 0 END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """

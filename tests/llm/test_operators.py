@@ -474,7 +474,7 @@ HARD = st.text(alphabet=st.sampled_from(["<", "|", "\\", ">", "im_start", "im_en
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="<|\\>é ", max_size=5), st.lists(st.sampled_from(["<", "|", "\\", ">", "im_start", "im_end|>", "\n", "a", "<|im_end|>", "<|im_start|>"]), max_size=10))
+@given(st.lists(st.sampled_from([*"<|\\>é \nn", "<|n|>", "<\\|n|>", "<|im_end|>", "<|im_start|>"]), max_size=6).map("".join), st.lists(st.sampled_from(["<", "|", "\\", ">", "im_start", "im_end|>", "\n", "a", "<|im_end|>", "<|im_start|>"]), max_size=10))
 def test_every_turn_comes_back(role, pieces):
     text = "".join(pieces)
     s, a, z = chat.render(role, text)
@@ -496,7 +496,7 @@ def test_chats(spark):
     got = {r.conv_id: r for r in chat.format_chats(d).collect()}
     assert [t for t in chat.parse(got[1].formatted)] == [("user", ""), ("assistant", "yes <|im_end|>"), ("assistant", "yes <|im_end|>")]
     assert [chat.unescape(got[1].formatted[s.start:s.end]) for s in got[1].loss_spans] == ["yes <|im_end|>"] * 2
-    assert chat.parse(got[None].formatted) == [("", "x")] and chat.parse(got[2].formatted) == [("as sistant", "")]
+    assert chat.parse(got[None].formatted) == [("", "x")] and chat.parse(got[2].formatted) == [("as\nsistant", "")]
     assert got[3].n_turns == 1 and len(got) == 4
     assert chat.format_chats(d.limit(0)).count() == 0
 
