@@ -461,6 +461,32 @@ def test_sharding_balances_and_keeps_groups(docs, empty, spark):
     assert sharding.shard(empty).count() == 0
 
 
+def test_sharding_splits_repeated_rows_and_rows_without_ids(spark):
+    rng = random.Random(8)
+    same = [(None, "without any id")] * 4000 + [(7, "under one id")] * 4000  # two thirds of all rows
+    d = spark.createDataFrame([(i, prose(rng, rng.randint(5, 60))) for i in range(4000)] + same, "doc_id bigint, text string").repartition(7)
+    out = sharding.shard(d)
+    rows_ = out.collect()
+    assert Counter((r.doc_id, r.size) for r in rows_) == Counter((i, len(t.encode()) + 1) for i, t in [(r.doc_id, r.text) for r in d.collect()])
+    n, size = Counter(r.shard for r in rows_), Counter()
+    for r in rows_:
+        size[r.shard] += r.size
+    assert len(n) == 8 and max(n.values()) < 1.03 * min(n.values()) and max(size.values()) < 1.03 * min(size.values())
+    assert all(sorted(r.slot for r in rows_ if r.shard == s) == list(range(n[s])) for s in n)
+
+
+def test_every_item_goes_where_a_plain_search_finds_most_room():
+    rng = random.Random(9)
+    items = [[rng.randint(1, 10**9), rng.randint(1, 10**8), 1] for _ in range(200)]
+    total = [sum(x[c] for x in items) for c in range(3)]
+    share = [[x[c] / total[c] for c in range(3)] for x in items]
+    got, room = sharding.place(np.array(items), 5), [[1 / 5] * 3 for _ in range(5)]
+    for i in sorted(range(200), key=lambda i: -sum(share[i])):
+        dots = [sum(a * b for a, b in zip(r, share[i])) for r in room]
+        assert dots[got[i]] > max(dots) - 1e-12
+        room[got[i]] = [a - b for a, b in zip(room[got[i]], share[i])]
+
+
 def test_place_takes_the_highest_dot_product():
     items = np.array([[5, 1], [1, 5], [4, 1], [1, 4], [1, 1]])
     got = sharding.place(items, 2)
