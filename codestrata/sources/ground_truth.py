@@ -2,7 +2,8 @@
 
 Documents are read as VARIANT: each text is parsed once, and members are found by name without case in the parsed
 value, so no pass over the input infers a schema and documents may differ in spelling. Written datasets are
-one document each, under a version that becomes visible by one log entry.
+one document each, under a version that becomes visible by one log entry. A written document has a file or an issue
+to a line, and blanks before it say which, so it is read again line by line and never held as a whole.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ ISSUE_FIELDS = {
     "isMandatory": "boolean", "difficultyLevel": "string",
 }
 _STATISTIC = {"dimension": "string", "label": "string", "n": "bigint"}
+#: Name of a folder whose documents are made of lines, and what such lines begin with (blanks mean nothing in JSON).
+_LINES, _HEAD, _FILE, _ISSUE = "lines-", "{", " ", "  "
 
 
 def _members(v: Column) -> Column:
@@ -31,42 +34,75 @@ def _member(members: Column, name: str) -> Column:
     return F.get(F.filter(members, lambda e: F.lower(e["key"]) == name.lower()), F.lit(0))["value"]
 
 
+def _parsed(text: str) -> Column:
+    bad = F.raise_error(F.concat(F.lit("no JSON, or more than a variant holds: "), F.substring(text, 1, 80))).cast("variant")
+    return F.coalesce(F.try_parse_json(text), F.when(F.col(text).isNotNull(), bad))
+
+
+def _build(members: Column, fields: dict[str, str]) -> Column:
+    return F.struct(*[F.try_variant_get(_member(members, n), "$", t).alias(n) for n, t in fields.items()])
+
+
+def _written(spark: SparkSession, path: str) -> str | None:
+    """The folder of lines that counts, if the last write made one."""
+    folders = versions.live(spark, path)[0]
+    return f"{path}/{folders[-1]}" if folders and folders[-1].startswith(_LINES) else None
+
+
+def _lines(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """(dataset_id, value) of the lines of one kind; files are split between tasks anywhere."""
+    text = spark.read.schema("value string, dataset string").text(folder, lineSep="\n").where(F.col("value").rlike(rf"^{kind}[,{{]" if kind != _HEAD else r"^\{"))
+    ident = F.when(F.col("dataset").startswith("="), F.expr("substring(dataset, 2)"))
+    return text.select(ident.alias("dataset_id"), F.expr("substring(value, locate('{', value))").alias("value"))
+
+
 def _documents(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     """One row per document with its members. A file, or a line, holds a document or a list of them."""
     folders = versions.live(spark, path)[0]
     paths = [f"{path}/{folders[-1]}"] if folders else [path]
     text = spark.read.text(paths, wholetext=multi_line, recursiveFileLookup=True).where(F.col("value").rlike(r"\S"))
-    parsed = F.try_parse_json("value")
-    bad = F.raise_error(F.concat(F.lit("no JSON, or more than a variant holds: "), F.substring("value", 1, 80))).cast("variant")
-    docs = text.select(F.coalesce(parsed, F.when(F.col("value").isNotNull(), bad)).alias("v"))
+    docs = text.select(_parsed("value").alias("v"))
     many = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
     return docs.select(F.explode(many).alias("v")).select(_members(F.col("v")).alias("members"))
 
 
 def _items(docs: DataFrame, name: str, fields: dict[str, str]) -> DataFrame:
-    def build(x: Column) -> Column:
-        return F.struct(*[F.try_variant_get(_member(x, n), "$", t).alias(n) for n, t in fields.items()])
-
     items = F.try_variant_get(_member(F.col("members"), name), "$", "array<variant>")
     ident = F.try_variant_get(_member(F.col("members"), "id"), "$", "string")
-    return docs.select(ident.alias("dataset_id"), F.inline(F.transform(F.transform(items, _members), build)))
+    return docs.select(ident.alias("dataset_id"), F.inline(F.transform(F.transform(items, _members), lambda x: _build(x, fields))))
+
+
+def _line_items(spark: SparkSession, folder: str, kind: str, fields: dict[str, str]) -> DataFrame:
+    lines = _lines(spark, folder, kind).select("dataset_id", _members(_parsed("value")).alias("members"))
+    return lines.select("dataset_id", F.inline(F.array(_build(F.col("members"), fields))))
 
 
 def read_ground_truth(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """Files and issues of every dataset under ``path``; names match without case.
 
     ``path`` is a folder of documents, one per file (``multi_line``) or per line, or what ``write_ground_truth`` wrote.
-    Members that are missing or of another type are null; a text that is no JSON is an error.
+    Members that are missing or of another type are null; a text that is no JSON is an error. What was written here is
+    read by lines, whatever its documents' size; a document from elsewhere has to fit into a cell.
     """
-    docs = _documents(spark, path, multi_line)
-    issues = _items(docs, "issues", ISSUE_FIELDS).fillna(True, ["isMandatory"]).withColumn(
+    folder = _written(spark, path)
+    if folder:
+        files, issues = _line_items(spark, folder, _FILE, FILE_FIELDS), _line_items(spark, folder, _ISSUE, ISSUE_FIELDS)
+    else:
+        docs = _documents(spark, path, multi_line)
+        files, issues = _items(docs, "files", FILE_FIELDS), _items(docs, "issues", ISSUE_FIELDS)
+    issues = issues.fillna(True, ["isMandatory"]).withColumn(
         "expectedDetectorAgents", F.coalesce("expectedDetectorAgents", F.array().cast("array<string>")))
-    return _items(docs, "files", FILE_FIELDS), issues
+    return files, issues
 
 
 def read_statistics(spark: SparkSession, path: str) -> DataFrame:
     """(dataset_id, dimension, label, n) from the heads of the documents."""
-    return _items(_documents(spark, path, True), "statistics", _STATISTIC)
+    folder = _written(spark, path)
+    if not folder:
+        return _items(_documents(spark, path, True), "statistics", _STATISTIC)
+    heads = _lines(spark, folder, _HEAD).select("dataset_id", F.concat("value", F.lit("]}")).alias("value"))  # the open list ends here
+    items = F.try_variant_get(_member(_members(_parsed("value")), "statistics"), "$", "array<variant>")
+    return heads.select("dataset_id", F.inline(F.transform(F.transform(items, _members), lambda x: _build(x, _STATISTIC))))
 
 
 def statistics(files: DataFrame, issues: DataFrame) -> DataFrame:
@@ -85,7 +121,8 @@ def write_ground_truth(files: DataFrame, issues: DataFrame, path: str) -> str:
 
     ``files`` and ``issues`` have a ``dataset_id`` and the columns that ``read_ground_truth`` gives; other columns are not
     written. A document is made of lines, one per file or issue, that stream through a task in order, so a
-    dataset needs no more memory than its longest line. Datasets are split over tasks, a dataset is not.
+    dataset needs no more memory than its longest line. Datasets are split over tasks, a dataset is not. Blanks before
+    a line tell files from issues, so that ``read_ground_truth`` needs no more than a line either.
     """
     def lines(rows: DataFrame, part: int, fields: dict[str, str]) -> DataFrame:
         return rows.select("dataset_id", F.lit(part).alias("part"), F.to_json(F.struct(*fields)).alias("json"))
@@ -100,8 +137,11 @@ def write_ground_truth(files: DataFrame, issues: DataFrame, path: str) -> str:
     first = F.row_number().over(W.partitionBy("dataset_id").orderBy("part", "json"))
     before = F.lag("part").over(W.partitionBy("dataset_id").orderBy("part", "json"))
     comma = F.when(before == F.col("part"), ",").otherwise("")
-    out = every.select("dataset_id", first.alias("place"), F.concat(comma, "json").alias("value"))
-    folder = f"v-{uuid.uuid4().hex}"
-    out.sortWithinPartitions("dataset_id", "place").select("dataset_id", "value").write.partitionBy("dataset_id").text(f"{path}/{folder}")
+    blanks = F.when(F.col("part") == 1, _FILE).when(F.col("part") == 3, _ISSUE).otherwise("")
+    # a folder's name is never null or empty: Spark would take both for one and sort again, without the place
+    name = F.coalesce(F.concat(F.lit("="), "dataset_id"), F.lit("null"))
+    out = every.select(name.alias("dataset"), first.alias("place"), F.concat(blanks, comma, "json").alias("value"))
+    folder = f"{_LINES}{uuid.uuid4().hex}"
+    out.sortWithinPartitions("dataset", "place").select("value", "dataset").write.partitionBy("dataset").text(f"{path}/{folder}")
     versions.commit(files.sparkSession, path, [("add", folder, None)])
     return folder

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -178,6 +179,25 @@ def test_ground_truth_comes_back(spark, tmp_path):
     assert GT.read_ground_truth(spark, str(tmp_path / "none"))[0].count() == 0
 
 
+def test_a_document_is_read_by_lines(spark, tmp_path):
+    """No whole document is held: a file of one dataset is split between tasks; ids that are empty, missing or look alike stay apart."""
+    issues = [(d, f"i{k}", "f", "c", "x" * 200, "LOW", "l", k, None, [], None, True, None) for d in ("", None, "1", "01", "null", "=") for k in range(200)]
+    f, i = spark.createDataFrame([("", "f", "csharp", None, None, 1, 1)], GT_FILES), spark.createDataFrame(issues, GT_ISSUES)
+    GT.write_ground_truth(f, i, str(tmp_path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        back = GT.read_ground_truth(spark, str(tmp_path))
+        assert back[1].rdd.getNumPartitions() > 20
+        assert sorted(map(repr, back[1].collect())) == sorted(map(repr, i.collect())) and rows(back[0], "dataset_id", "fileName") == [("", "f")]
+        totals = {r.dataset_id: r.n for r in GT.read_statistics(spark, str(tmp_path)).where("dimension = 'total issues'").collect()}
+        assert totals == dict.fromkeys(["", None, "1", "01", "null", "="], 200)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    # every dataset still is one document of JSON
+    docs = [json.loads(p.read_text()) for p in tmp_path.glob("lines-*/*/part-*")]
+    assert len(docs) == 6 and all([x["id"] for x in d["issues"]] == sorted(x["id"] for x in d["issues"]) and len(d["issues"]) == 200 for d in docs)
+
+
 def test_a_write_that_breaks_off_changes_nothing(spark, tmp_path):
     f = spark.createDataFrame([("one", "f", "csharp", None, None, 1, 1)], GT_FILES)
     i = spark.createDataFrame([], GT_ISSUES)
