@@ -15,14 +15,23 @@ PRICES = [("gpt-3.5", "0.0015", "0.002"), ("gpt-35", "0.0015", "0.002"), ("", "0
 def throttle_status(calls: DataFrame, limit: int = THROTTLE_LIMIT, window_ms: int = THROTTLE_WINDOW_MS) -> DataFrame:
     """Calls of the agent in the trailing minute, and the wait until the oldest leaves.
 
-    Calls are bucketed by window length and copied into the next bucket, so the window's
-    group is one (agent, minute), not one agent.
+    Calls of one agent and millisecond are counted first; the times are bucketed by window length and copied
+    into the next bucket, so the window's group is one (agent, minute) of two times ``window_ms`` rows at most.
+    All frames only grow: the calls of the trailing minute are those up to now less those before it, and the oldest
+    is the time that follows the last one before it. Each row enters a frame once, however dense the calls are.
     """
     b = F.floor(F.col("ts_ms") / window_ms)
-    d = calls.select("request_id", "agent", "ts_ms", F.explode(F.array(b, b + 1)).alias("bucket"))
-    w = W.partitionBy("agent", "bucket").orderBy("ts_ms").rangeBetween(-window_ms, 0)
-    d = d.select("*", F.count("*").over(w).alias("calls"), F.min("ts_ms").over(w).alias("oldest"))
-    d = d.where(F.col("bucket") == F.floor(F.col("ts_ms") / window_ms))
+    times = calls.where("ts_ms IS NOT NULL").groupBy("agent", "ts_ms").agg(F.count("*").alias("n"))
+    times = times.select("agent", "ts_ms", "n", F.explode(F.array(b, b + 1)).alias("bucket"))
+    w = W.partitionBy("agent", "bucket").orderBy("ts_ms")
+    now, gone = (w.rangeBetween(W.unboundedPreceding, end) for end in (0, -window_ms - 1))
+    times = times.select("*", F.lead("ts_ms").over(w).alias("following"))
+    times = times.select(
+        F.col("agent").alias("of"), F.col("ts_ms").alias("at"), "bucket",
+        (F.sum("n").over(now) - F.coalesce(F.sum("n").over(gone), F.lit(0))).alias("calls"),
+        F.coalesce(F.max("following").over(gone), F.min("ts_ms").over(now)).alias("oldest"))
+    times = times.where(F.col("bucket") == F.floor(F.col("at") / window_ms)).drop("bucket")
+    d = calls.join(times, F.col("agent").eqNullSafe(F.col("of")) & (F.col("ts_ms") == F.col("at")))
     throttled = F.col("calls") >= limit
     wait = F.greatest(F.lit(0), window_ms - (F.col("ts_ms") - F.col("oldest")))
     return d.select("request_id", "agent", "calls", throttled.alias("is_throttled"), F.when(throttled, wait).otherwise(0).alias("wait_ms"))

@@ -57,6 +57,21 @@ def test_throttle_window_crosses_buckets(spark):
     assert got == {0: (3, False, 0), 1: (3, False, 0), 2: (3, False, 0), 3: (4, True, 59_000), 4: (5, True, 0), 5: (3, False, 0)}
 
 
+def test_throttle_on_dense_calls(spark):
+    """Many calls in a minute: no frame slides, as its work grows with calls times calls; same rows as brute force."""
+    rng = random.Random(8)
+    data = [(k, rng.choice(["a", "b", None]), rng.choice([None, *range(-70_000, 200_000, 777)])) for k in range(900)]
+    got = Q.throttle_status(spark.createDataFrame(data, "request_id long, agent string, ts_ms long"), limit=4)
+    want = {}
+    for k, a, t in data:
+        if t is not None:
+            near = [u for _, b, u in data if b == a and u is not None and t - 60_000 <= u <= t]
+            want[k] = (a, len(near), len(near) >= 4, 60_000 - t + min(near) if len(near) >= 4 else 0)
+    assert {r.request_id: (r.agent, r.calls, r.is_throttled, r.wait_ms) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, unboundedpreceding$()" in plan and "RangeFrame, -60000" not in plan
+
+
 def test_running_and_position(spark):
     data = [(i % 3 if i % 2 else 0, i, i * i) for i in range(80)]
     df = spark.createDataFrame(data, "k int, o int, v long")
