@@ -110,6 +110,14 @@ def test_cycles_and_members(spark):
     assert rows(G.short_cycles(e, max_len=2), "cycle") == [("a -> b -> a",)]
 
 
+def test_graph_loops_do_not_broadcast(spark):
+    """Some hundred joins run in the loops: a broadcast in each would add up on the driver."""
+    e = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "c"), ("c", "e")], "src string, dst string")
+    for out in (G._trim_once(e), G.cycle_members(e), G.cycles(e), G.short_cycles(e, 3)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_a_long_ring_is_one_cycle(spark):
     ring = [f"n{i:02d}" for i in range(20)]
     e = spark.createDataFrame([*zip(ring, ring[1:] + ring[:1]), ("n00", "out"), ("in", "n03")], "src string, dst string")
