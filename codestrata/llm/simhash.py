@@ -35,14 +35,14 @@ def _bits(hashes: list[int]) -> np.ndarray:
     return np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: str | None) -> int:
-    """Bits set in over half of the XXH64 (seed 42) of all word shingles; a text without words gives 0."""
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    """Bits set in over half of the XXH64 (seed 42) of all shingles of ``width`` words; a text without words gives 0."""
     w = (text or "").encode().lower().split()
     if not w:
         return 0
     line = b" ".join(w)
     ends = np.cumsum([len(x) + 1 for x in w]) - 1
-    last = ends[WIDTH - 1:].tolist() if len(w) >= WIDTH else [len(line)]
+    last = ends[width - 1:].tolist() if len(w) >= width else [len(line)]
     first = [0, *(ends[:len(last) - 1] + 1).tolist()]
     digest, count = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
     for at in range(0, len(last), CHUNK):

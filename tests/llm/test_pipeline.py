@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codestrata.llm import mixing, neardup, packing, quality
+from codestrata.llm import mixing, neardup, packing, quality, simhash
 
 from . import brute
 from .conftest import SCHEMA, prose, rows
@@ -157,6 +157,18 @@ def test_near_copies_with_scattered_edits_go(spark):
     assert {r.doc_id for r in neardup.stage(spark, d, "").collect()} == want
 
 
+def test_a_pair_without_a_common_band_meets_by_its_fingerprints(spark):
+    """0.8 alike and within 3 bits, but no band in common: SimHash finds what MinHash misses."""
+    rng = random.Random(14)
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(40)] * 12
+    texts = [" ".join(passage + [f"{c}{rng.randrange(10**6)}" for _ in range(5)]) for c in "ab"]
+    a, b = map(neardup.shingles, texts)
+    assert 5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b)) and (simhash.fingerprint(texts[0], 5) ^ simhash.fingerprint(texts[1], 5)).bit_count() <= 3
+    assert not set(neardup.signature(a)[0]) & set(neardup.signature(b)[0])
+    d = spark.createDataFrame([*enumerate(texts), (2, prose(rng, 300)), (3, ""), (4, None)], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in neardup.stage(spark, d, "").collect()) == [0, 2, 3]
+
+
 def test_near_copies_across_a_chain(spark):
     """A large group whose ends are not alike is one group, also where no set is alike to the least of its key."""
     words = prose(random.Random(22), 400).split()
