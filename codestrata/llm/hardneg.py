@@ -163,12 +163,13 @@ def negatives(block: Block, anchor: np.ndarray, own: int, label: int, scores: li
         return [[] for _ in scores]
     lo, hi = np.searchsorted(block.labels, [label, label + 1])
     spans = [s for s in ((0, lo), (hi, len(block.labels))) if s[0] < s[1]]
+    sure_rows = k + np.count_nonzero(block.ids == own)  # the anchor's own rows go below, so they are no winners
 
     def prune(least, most):
         stay = np.zeros(len(least), bool)
         for low, high in wide:
             sure = least[(least >= low) & (most <= high)]  # in the window whatever comes
-            edge = _kth(sure, k)
+            edge = _kth(sure, sure_rows)
             stay |= (most >= (low if edge is None else edge)) & (least <= high)
         return stay
 
