@@ -4,7 +4,7 @@ Rows lie in blocks, every dimension of a block as one column, rows of a label si
 dimensions are read in descending magnitude of its own components. After each few of them a row's score lies
 between its partial score plus the least and plus the most that the remaining dimensions can add, by the
 minima and maxima of the columns. Rows that can no longer be among the best of their window leave the
-candidates; those that remain get exact scores. Blocks of rows meet blocks of anchors as rows of a join.
+candidates; those that remain get exact scores. Blocks of rows are met by blocks of anchors in one sorted stream.
 """
 
 from __future__ import annotations
@@ -187,34 +187,40 @@ def negatives(block: Block, anchor: np.ndarray, own: int, label: int, scores: li
 
 def _anchors(b: pa.RecordBatch, i: int) -> Iterator[tuple]:
     """(number, vec_id, label, vec, positive scores) of the anchor block in row ``i``."""
-    for a in b.column(1)[i]:
+    for a in b.column(6)[i]:
         a = a.as_py()
         yield a["anchor"], a["vec_id"], a["label"], np.array(a["vec"], np.int64), a.get("scores")
 
 
 def _scan(find, names: list[str]):
-    """Rows (n, anchors, dims, ids, labels, cols) in, rows of ``find(block, anchor)`` out."""
+    """Rows (block, n, dims, ids, labels, cols, anchors) in, those of a block together and its columns first; rows of ``find(block, anchor)`` out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, block = None, None
+        number, held = None, []
         for b in batches:
             for i in range(b.num_rows):
-                ids = b.column(3)[i].as_py()
-                if key != (ids, b.column(4)[i].as_py()):
-                    key = (ids, b.column(4)[i].as_py())
-                    block = Block(b.column(0)[i].as_py(), b.column(2)[i].as_py(), *key, b.column(5)[i].as_py())
-                rows = [r for a in _anchors(b, i) for r in find(block, *a)]
+                if b.column(0)[i].as_py() != number:
+                    number, held = b.column(0)[i].as_py(), []
+                if b.column(5)[i].is_valid:
+                    held.append(Block(*[b.column(j)[i].as_py() for j in range(1, 6)]))
+                    continue
+                rows = [r for a in _anchors(b, i) for block in held for r in find(block, *a)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(len(names))], names)
 
     return run
 
 
 def _meet(blocks: DataFrame, anchors: DataFrame, n_blocks: int, find, names: list[str]) -> DataFrame:
-    """``find`` for every anchor in every block; anchors travel in blocks of ``ANCHORS``."""
+    """``find`` for every anchor in every block; anchors travel in blocks of ``ANCHORS``.
+
+    Each block goes to a task once, and the anchors follow it there by a plain shuffle. A join would take the lists
+    for as small as they are before they are copied to all blocks, and send the copies through the driver.
+    """
     dealt = anchors.withColumn("a", F.floor(F.col("anchor") / ANCHORS))
     lists = dealt.groupBy("a").agg(F.collect_list(F.struct(*anchors.columns)).alias("anchors"))
-    lists = lists.select("anchors", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    d = blocks.join(lists, "block").select("n", "anchors", "dims", "ids", "labels", "cols")
-    return d.mapInArrow(_scan(find, names), ", ".join(f"{c} bigint" for c in names))
+    lists = lists.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "a", "anchors")
+    d = blocks.withColumn("a", F.lit(-1)).unionByName(lists, allowMissingColumns=True)
+    d = d.repartition(n_blocks, "block").sortWithinPartitions("block", "a")
+    return d.select("block", "n", "dims", "ids", "labels", "cols", "anchors").mapInArrow(_scan(find, names), ", ".join(f"{c} bigint" for c in names))
 
 
 def _best(d: DataFrame, keys: list[str], k: int, score: str, tie: str) -> DataFrame:
@@ -228,7 +234,7 @@ def _numbered(anchors: DataFrame) -> DataFrame:
     part = written(anchors.withColumn("p", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id()))
     counts = part.groupBy("p").agg(F.count("*").alias("n"), F.min("m").alias("first"))
     before = counts.select("p", "first", F.coalesce(F.sum("n").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return part.join(before, "p").select((F.col("base") + F.col("m") - F.col("first")).alias("anchor"), "vec_id", "label", "vec")
+    return part.join(F.broadcast(before), "p").select((F.col("base") + F.col("m") - F.col("first")).alias("anchor"), "vec_id", "label", "vec")
 
 
 def mine(rows: DataFrame, is_anchor: Column) -> DataFrame:
@@ -251,14 +257,14 @@ def mine(rows: DataFrame, is_anchor: Column) -> DataFrame:
     found = _meet(blocks, anchors, n_blocks, near, ["anchor", "anchor_id", "positive_id", "positive_score"])
     best = written(_best(found, ["anchor"], POSITIVES, "positive_score", "positive_id").withColumnRenamed("rank", "p"))
     scores = best.groupBy("anchor").agg(F.array_sort(F.collect_list(F.struct("p", "positive_score"))).alias("s"))  # POSITIVES at most
-    asked = anchors.join(scores, "anchor").select("anchor", "vec_id", "label", "vec", F.col("s.positive_score").alias("scores"))
+    asked = anchors.join(scores.hint("merge"), "anchor").select("anchor", "vec_id", "label", "vec", F.col("s.positive_score").alias("scores"))
 
     def hard(block, anchor, own, label, vec, scores):
         return [(anchor, i + 1, q, s) for i, out in enumerate(negatives(block, vec, own, label, scores)) for s, q in out]
 
     pairs = _meet(blocks, asked, n_blocks, hard, ["anchor", "p", "negative_id", "negative_score"])
     pairs = _best(pairs, ["anchor", "p"], NEGATIVES, "negative_score", "negative_id")
-    d = pairs.join(best, ["anchor", "p"])
+    d = pairs.join(best.hint("merge"), ["anchor", "p"])  # small on disk is not small in memory: no broadcast
     return d.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")
 
 

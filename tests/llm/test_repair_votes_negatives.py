@@ -379,3 +379,16 @@ def test_op13_query(spark, tmp_path):
     assert [t for _, t in df.dtypes] == ["bigint", "bigint", "int", "bigint", "bigint", "bigint"]
     moved = [(i, (y + 1) % 10 if i % 7 == 0 else y, v) for i, y, v in usable(data)]
     assert Counter(tuple(r) for r in df.collect()) == mined(moved)
+
+
+def test_anchors_meet_blocks_without_the_driver(spark):
+    """Lists are copied to all blocks: Spark takes them for small, so a join there would be a broadcast of all copies."""
+    d = hardneg.usable(spark.createDataFrame(vectors(seed=83), VECTOR))
+    blocks = hardneg.written(d.repartition(3).mapInArrow(hardneg._pack(64), hardneg._BLOCK))
+    anchors = hardneg.written(hardneg._numbered(d.where("vec_id % 50 = 0")))
+    met = hardneg._meet(blocks, anchors, 3, lambda block, anchor, own, *_: [(anchor, own, len(block.ids))], ["anchor", "own", "rows"])
+    seen = Counter()
+    for r in met.collect():
+        seen[r.own] += r.rows
+    assert set(seen.values()) == {d.count()} and len(seen) == 9
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
