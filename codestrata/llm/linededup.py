@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..session import cut_lineage
-from .common import table
+from .common import merged, table
 
 WINDOW = 3
 
@@ -40,7 +40,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     w = _windows(docs)
     # written once: the join below then reads plain shuffles on both sides, which a very common window can be split in
     first = cut_lineage(w.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "version", "pos")).alias("first")).where("n > 1").drop("n"))
-    later = w.join(first, ["h1", "h2"]).where(~F.struct("doc_id", "version", "pos").eqNullSafe(F.col("first")))
+    later = merged(w, first, ["h1", "h2"]).where(~F.struct("doc_id", "version", "pos").eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("starts"))
 
 
@@ -53,7 +53,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     becomes empty, its row stays. Rows that agree in doc_id and text are one document and are cut alike.
     """
     starts = repeated_windows(docs).select(F.col("doc_id").alias("_ld_id"), F.col("version").alias("_ld_version"), F.col("starts").alias("_ld_starts"))
-    d = docs.join(starts, docs["doc_id"].eqNullSafe(starts["_ld_id"]) & (F.xxhash64(docs["text"]) == starts["_ld_version"]), "left")
+    d = merged(docs, starts, docs["doc_id"].eqNullSafe(starts["_ld_id"]) & (F.xxhash64(docs["text"]) == starts["_ld_version"]), "left")
     cols = [_strip(docs["text"], "_ld_starts").alias(c) if c == "text" else docs[f"`{c}`"] for c in docs.columns]
     return d.select(*cols, F.array_sort(F.coalesce("_ld_starts", F.expr("cast(array() as array<int>)"))).alias("_ld_line_starts"))
 

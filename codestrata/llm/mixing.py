@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import cells, running, table
+from .common import cells, merged, running, table
 
 #: Target weights in blocks per round; every other source, or none, shares ``REST_WEIGHT``.
 WEIGHTS = {"src0": 20, **{f"src{i}": 3 + i % 4 for i in range(1, 20)}}
@@ -88,6 +88,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in mixing order: files in order, rows in order inside each file; the columns stay."""
     place = mix(docs, WEIGHTS).groupBy("doc_id").agg(F.min(F.struct("slot", "offset")).alias("p"))
     place = place.select(F.col("doc_id").alias("_mix_id"), F.col("p.slot").alias("_mix_slot"), F.col("p.offset").alias("_mix_offset"))
-    d = docs.join(place, docs["doc_id"].eqNullSafe(place["_mix_id"]))
+    d = merged(docs, place, docs["doc_id"].eqNullSafe(place["_mix_id"]))
     key = ["_mix_slot", "_mix_offset", "_mix_id"]
     return d.repartitionByRange(*key).sortWithinPartitions(*key).select(*[docs[f"`{c}`"] for c in docs.columns])

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage
-from .common import components, table, texts
+from .common import components, merged, table, texts
 
 BITS, WIDTH, DISTANCE = 64, 3, 3
 SEGMENTS = 16
@@ -112,7 +112,7 @@ def links(distinct: DataFrame) -> DataFrame:
     """
     keys = distinct.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
     shared = cut_lineage(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    keys = keys.join(shared, "key").withColumn("blocks", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}"))
+    keys = merged(keys, shared, "key").withColumn("blocks", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}"))
     keys = keys.withColumn("mine", F.pmod(F.xxhash64("fp", "key"), "blocks"))
     keys = keys.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     keys = keys.select("fp", "key", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
@@ -132,10 +132,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fps = cut_lineage(fingerprints(docs))
     least = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     member = components(links(least.select("fp")))
-    named = least.join(member, least["fp"] == member["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = merged(least, member, least["fp"] == member["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     label = cut_lineage(named.groupBy("root").agg(F.min("least").alias("component_id")))
-    fp_label = cut_lineage(named.join(label, "root").select("fp", "component_id"))
-    return fps.join(fp_label, "fp").select("doc_id", "fp", "component_id")
+    fp_label = cut_lineage(merged(named, label, "root").select("fp", "component_id"))
+    return merged(fps, fp_label, "fp").select("doc_id", "fp", "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codestrata.llm import mixing, neardup, packing, quality, simhash
+from codestrata.llm import linededup, mixing, neardup, packing, quality, simhash
 
 from . import brute
 from .conftest import SCHEMA, prose, rows
@@ -94,6 +94,18 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert all(b == sorted(b) for b in by_bucket.values())
 
 
+def test_joins_of_growing_tables_go_by_shuffles(spark, tmp_path):
+    """Keys are exploded from fingerprints that Spark takes for small; as broadcasts they fill the driver."""
+    d = spark.createDataFrame(rows(), SCHEMA)
+    fps = spark.range(300).select(F.xxhash64("id").alias("fp"))
+    one = neardup.written(spark.range(300).select(F.col("id").alias("sid"), F.array(F.col("id") % 50, F.col("id") % 40).alias("bands")))
+    shared = neardup._shared(one.select("sid", F.explode("bands").alias("key")))
+    for df in (simhash.links(fps), shared, linededup.dedup_lines(d), mixing.stage(spark, d, ""), neardup.stage(spark, d, "")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # the schedule of a round is bounded by its sources
+        assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin [g#") == plan.count("BroadcastHashJoin"), plan
+
+
 def test_which_of_repeated_rows_stays_is_fixed(spark):
     data = [(1, "one text of its own", f"s{i}", i) for i in range(40)]
     got = {tuple(neardup.stage(spark, spark.createDataFrame(random.Random(k).sample(data, 40), "doc_id bigint, text string, source string, row int").repartition(k + 1), "").first()) for k in range(3)}
