@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {kind}, fp bigint")
 
 
-def _keys(fp: Column) -> Column:
+def chain_keys(fp: Column) -> Column:
     """All chain keys: (key number, its equal bits), the bits read round the ring from each start."""
     out = []
     for s in range(SEGMENTS):
@@ -110,7 +110,7 @@ def links(distinct: DataFrame) -> DataFrame:
     A key shared by more than ``BLOCK`` fingerprints is dealt into blocks; every pair of blocks is one
     comparison in one row of bounded size, and yields linking pairs only, never all pairs.
     """
-    keys = distinct.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
+    keys = distinct.select("fp", F.explode(chain_keys(F.col("fp"))).alias("key"))
     shared = cut_lineage(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     keys = merged(keys, shared, "key").withColumn("blocks", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}"))
     keys = keys.withColumn("mine", F.pmod(F.xxhash64("fp", "key"), "blocks"))

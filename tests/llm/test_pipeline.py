@@ -1,6 +1,9 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -181,6 +184,64 @@ def test_a_pair_without_a_common_band_meets_by_its_fingerprints(spark):
     assert sorted(r.doc_id for r in neardup.stage(spark, d, "").collect()) == [0, 2, 3]
 
 
+def test_a_pair_that_no_spanning_link_joins_is_found(spark):
+    """Three texts within 3 bits: two are 0.8 alike and share no band, but all links within 3 bits go by the third, a stranger."""
+    rng = random.Random(14)
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(40)] * 12
+
+    def text(seed, n):
+        r = random.Random(seed)
+        return " ".join(passage + [f"w{r.randrange(10**6)}" for _ in range(n)])
+
+    a, b, c = texts = [text(1, 5), text(60, 5), text(5044, 14)]
+    group, (fa, fb, fc) = alike(set(texts)), [simhash.fingerprint(t, 5) for t in texts]
+    assert group[a] is group[b] is not group[c] and max((x ^ y).bit_count() for x in (fa, fb, fc) for y in (fa, fb, fc)) <= 3
+    assert not set(neardup.signature(neardup.shingles(a))[0]) & set(neardup.signature(neardup.shingles(b))[0])
+    d = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in neardup.stage(spark, d, "").collect()) == [0, 2]
+
+
+@pytest.mark.parametrize("block", [8, 512])
+def test_groups_are_those_of_all_pairs_whatever_leads_there_are(spark, monkeypatch, block):
+    """One lead for each key, small blocks, hot keys: the groups are those of all pairs that share a key or are within 3 bits."""
+    monkeypatch.setattr(neardup, "LEVELS", 1)
+    monkeypatch.setattr(neardup, "BLOCK", block, raising=False)
+    rng, template, texts = random.Random(26), prose(random.Random(27), 60).split(), []
+    for i in range(60):
+        w = list(template)
+        w[rng.randrange(60)] = f"w{i}"
+        texts.append(" ".join(w))
+        w[rng.randrange(60)] = f"v{i}"
+        texts.append(" ".join([*w, f"x{i}"]))
+    sets = [neardup.shingles(t) for t in texts]
+    bands, fps = [set(neardup.signature(s)[0].tolist()) for s in sets], [simhash.fingerprint(t, 5) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            both = len(set(x.tolist()) & set(y.tolist()))
+            if 5 * both >= 4 * (len(x) + len(y) - both) and (bands[i] & bands[j] or (fps[i] ^ fps[j]).bit_count() <= 3):
+                root[find(i)] = find(j)
+    d = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: r.root for r in neardup.near_copies(d).collect()}
+    want = [find(i) for i in range(len(texts))]
+    assert len(set(want)) < len(texts) and all((got[i] == got[j]) == (want[i] == want[j]) for i in range(len(texts)) for j in range(i))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 10**6), st.integers(0, 300), st.integers(0, 80), st.integers(0, 80))
+def test_parities_rule_out_no_alike_sets(seed, both, left, right):
+    v = np.unique(np.random.default_rng(seed).integers(0, 1 << 63, both + left + right, dtype=np.uint64))
+    a, b = np.sort(v[:both + left]), np.sort(np.concatenate([v[:both], v[both + left:]]))
+    stay = neardup.possible(len(a), np.frombuffer(neardup.odd(a), np.uint64), np.array([len(b)]), np.frombuffer(neardup.odd(b), np.uint64)[None])[0]
+    assert stay or 5 * both < 4 * len(v)
+
+
 def test_near_copies_across_a_chain(spark):
     """A large group whose ends are not alike is one group, also where no set is alike to the least of its key."""
     words = prose(random.Random(22), 400).split()
